@@ -1,0 +1,245 @@
+"""Literal vectors, brute-force restatements, invariants and edge cases."""
+
+from __future__ import annotations
+
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from peakloom import schema
+from peakloom.functions.scalar import normal_cdf, normal_cdf_fast
+from peakloom.operators import grid, merge, neighborhood, order, slices
+from peakloom.operators.dedup import deduplicate
+from peakloom.operators.group_map import group_map
+from peakloom.sources import files
+
+from .conftest import SMALL
+
+V1 = [
+    (0, 2, 5, 30, 7, 101), (1, 1, 4, 20, 3, 100), (2, 1, 4, 10, 2, 100), (3, 1, 4, 20, 5, 102), (4, 2, 5, 30, 1, 103),
+    (5, 1, 6, 10, 4, 100), (6, 3, 0, 8, 9, 104), (7, 2, 3, 30, 6, 101), (8, 1, 4, 10, 8, 105), (9, 2, 5, 31, 2, 103),
+]
+
+
+@pytest.fixture(scope="module")
+def v1(spark):
+    return spark.createDataFrame(V1, "p long, frame int, scan int, tof int, intensity long, cluster_id long").cache()
+
+
+def tuples(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_orders(v1):
+    stable = order.with_positions(v1, ("frame", "scan"), ("p",))
+    assert [r["p"] for r in stable.orderBy("pos").collect()] == [1, 2, 3, 8, 5, 7, 0, 4, 9, 6]
+    full = order.with_positions(v1, ("frame", "scan", "tof", "cluster_id", "intensity"))
+    assert [r["p"] for r in full.orderBy("pos").collect()] == [2, 8, 1, 3, 5, 7, 0, 4, 9, 6]
+
+
+def test_cells(v1):
+    got = grid.cell_index(v1).join(grid.unique_per_group(v1, grid.CELL, "tof"), ["frame", "scan", "n"]).select("frame", "scan", "n", "start", "n_unique")
+    assert sorted(tuples(got)) == [(1, 4, 4, 0, 2), (1, 6, 1, 4, 1), (2, 3, 1, 5, 1), (2, 5, 3, 6, 2), (3, 0, 1, 9, 1)]
+    assert sorted(tuples(grid.changes_per_group(v1, "frame", "tof"))) == [(1, 2, 1), (2, 2, 1), (3, 1, 0)]
+    assert sorted(tuples(grid.dense_labels(v1, "frame", "drt"))) == [(1, 0), (2, 1), (3, 2)]
+    assert sorted(tuples(grid.group_offsets(v1))) == [(0, 0), (1, 5), (2, 9), (3, 10)]
+
+
+def test_dedup(v1):
+    got = sorted(tuples(deduplicate(v1)))
+    assert got == [(1, 4, 10, 10), (1, 4, 20, 8), (1, 6, 10, 4), (2, 3, 30, 6), (2, 5, 30, 8), (2, 5, 31, 2), (3, 0, 8, 9)]
+    assert sum(r[3] for r in got) == 47
+    assert sorted(tuples(deduplicate(deduplicate(v1)))) == got
+    assert sorted(tuples(deduplicate(v1, co_locate=("frame", "tof")))) == got
+    assert deduplicate(v1, multiplicity=True).agg(F.sum("multiplicity")).first()[0] == 10
+
+
+def test_pack_and_checks(v1):
+    packed = order.pack_keys(v1.select("p", "frame", "scan", "tof"), ("frame", "scan", "tof"))
+    assert packed.filter("p = 9").first()["packed"] == 2 * 7 * 32 + 5 * 32 + 31 == 639
+    keys = ("frame", "scan", "tof")
+    assert not order.out_of_order(v1, keys, pos="p").first()["ok"]
+    placed = order.with_positions(v1, keys, ("p",))
+    assert order.out_of_order(placed, keys).first()["ok"]
+    assert not order.out_of_order(placed, keys, strict=True).first()["ok"]
+    assert order.out_of_order(order.with_positions(deduplicate(v1), keys), keys, strict=True).first()["ok"]
+    assert order.is_permutation(v1, "p").first()["ok"] and not order.is_permutation(v1, "tof").first()["ok"]
+    assert tuple(order.is_arange(v1, "p", "p").first()) == (True, None, None)
+    assert tuple(order.is_arange(v1, "p", "frame").first()) == (False, 0, 2)
+
+
+def test_order_check_across_blocks(spark):
+    n = 3 * order.BLOCK
+    rows = spark.range(n).select(F.col("id").alias("pos"), F.col("id").alias("k"))
+    assert order.out_of_order(rows, ("k",), strict=True).first()["ok"]
+    broken = rows.withColumn("k", F.when(F.col("pos") == order.BLOCK, 0).otherwise(F.col("k")))
+    assert not order.out_of_order(broken, ("k",)).first()["ok"]
+
+
+V2 = [  # pos, scan, intensity, event_count, tic, max_others, is_local_max, run_start, run_end, legacy_left
+    (0, 10, 4, 3, 20, 10, False, 0, 3, 0), (1, 11, 10, 3, 20, 6, True, 1, 3, 0), (2, 12, 6, 4, 25, 10, False, 0, 4, 0),
+    (3, 15, 5, 2, 11, 6, False, 2, 4, 2), (4, 40, 9, 1, 9, None, True, 4, 5, 4),
+]
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_neighbourhood_vector(spark, strict):
+    df = spark.createDataFrame([(1, 7, r[1], r[2]) for r in V2], "frame int, tof int, scan int, intensity long")
+    got = neighborhood.stats(df, 3, 0.5, strict).orderBy("scan")
+    columns = ("scan", "intensity", "event_count", "tic", "max_others", "is_local_max", "run_start", "run_end", "legacy_left")
+    assert tuples(got.select(*columns)) == [r[1:] for r in V2]
+
+
+def test_window_cap(spark):
+    df = spark.range(50).select(F.lit(1).alias("frame"), F.lit(7).alias("tof"), F.col("id").cast("int").alias("scan"), F.lit(1).alias("intensity"))
+    inner = df.select("scan", neighborhood.event_count(4).alias("a"), neighborhood.event_count(4, True).alias("b")).filter("scan between 4 and 45")
+    assert set(tuples(inner.select("a", "b"))) == {(9, 8)}
+
+
+def brute(rows, radius, fraction, strict):
+    """Two-pointer windows and outward walks for one group of (scan, intensity)."""
+    out = []
+    for i, (x, own) in enumerate(rows):
+        left = next(j for j in range(len(rows)) if rows[j][0] >= x - radius)
+        right = i
+        while right < len(rows) and rows[right][0] <= x + radius and not (strict and right >= i + radius):
+            right += 1
+        window = rows[left:right]
+        others = [v for j, (_, v) in enumerate(window) if j + left != i]
+        limit = fraction * own
+        if own > limit:
+            a = i
+            while a > left and rows[a - 1][1] > limit:
+                a -= 1
+            b = i + 1
+            while b < right and rows[b][1] > limit:
+                b += 1
+            legacy = a - 1 if a > left else a
+        else:
+            a = b = legacy = i
+        out.append((x, len(window), sum(v for _, v in window), max(others, default=None), a, b, legacy))
+    return out
+
+
+@pytest.mark.parametrize("strict", [False, True])
+@pytest.mark.parametrize(("radius", "fraction"), [(1, 0.5), (2, 0.5), (5, 0.75), (3, 1.0)])
+def test_neighbourhood_brute_force(spark, strict, radius, fraction):
+    rng = random.Random(radius)
+    groups = {}
+    for frame in range(6):
+        scans = range(20) if frame % 2 else sorted(rng.sample(range(60), 25))
+        groups[frame] = [(s, rng.randint(0, 9)) for s in scans]
+    df = spark.createDataFrame([(f, 3, s, v) for f, g in groups.items() for s, v in g], "frame int, tof int, scan int, intensity long")
+    got = neighborhood.stats(df, radius, fraction, strict)
+    columns = ("frame", "scan", "event_count", "tic", "max_others", "run_start", "run_end", "legacy_left")
+    expected = [(f, *r) for f, g in groups.items() for r in brute(g, radius, fraction, strict)]
+    assert sorted(tuples(got.select(*columns)), key=repr) == sorted(expected, key=repr)
+
+
+def test_halo_equals_filter_after_window(spark):
+    rng = random.Random(4)
+    rows = sorted({(rng.randint(0, 3), rng.randint(0, 3), rng.randint(0, 80)) for _ in range(600)})
+    df = spark.createDataFrame([(f, t, s, rng.randint(1, 9)) for f, t, s in rows], "frame int, tof int, scan int, intensity long")
+    for strict in (False, True):
+        late = df.withColumns({"event_count": neighborhood.event_count(5, strict), "tic": neighborhood.tic(5, strict)}).filter("scan between 20 and 40")
+        assert sorted(tuples(neighborhood.in_box(df, 20, 40, 5, strict))) == sorted(tuples(late))
+
+
+def test_radius_is_checked():
+    with pytest.raises(ValueError):
+        neighborhood.event_count(0)
+
+
+def test_normal_cdf(spark):
+    cases = [(0.0, 0.0, 1.0, 0.5), (1.0, 0.0, 1.0, 0.8413447460685429), (-1.96, 0.0, 1.0, 0.024997895148220428), (12.0, 10.0, 2.0, 0.8413447460685429)]
+    for x, mu, sigma, want in cases:
+        one = spark.range(1).select(normal_cdf(F.lit(x), mu, sigma).alias("a"), normal_cdf_fast(F.lit(x), mu, sigma).alias("b")).first()
+        assert one["a"] == want and abs(one["b"] - want) < 1e-7
+    grid_ = spark.range(-400, 401).select((F.col("id") / 100.0).alias("x")).withColumn("c", normal_cdf(F.col("x"))).collect()
+    assert all(r["c"] == 0.5 * (1 + math.erf(r["x"] / math.sqrt(2.0))) for r in grid_)
+
+
+def test_merge_and_equality(v1):
+    half = v1.filter("p < 5"), v1.filter("p >= 5")
+    both = merge.merge(*half)
+    assert merge.equal(both, v1).first()[0] and merge.equal(merge.merge(*half[::-1]), v1).first()[0]
+    assert not merge.equal(merge.merge(v1, half[0]), v1).first()[0]
+    assert not merge.equal(v1.drop("tof"), v1).first()[0]
+    with pytest.raises(ValueError):
+        merge.merge(v1, v1.drop("tof"))
+    swapped = v1.select(*reversed(v1.columns))
+    assert merge.equal(merge.merge(half[0], half[1].select(*reversed(v1.columns))), swapped).first()[0]
+    one, other = grid.count_cells(half[0]), grid.count_cells(half[1])
+    assert sorted(tuples(grid.add_counts(one, other))) == sorted(tuples(grid.count_cells(v1)))
+
+
+def test_padded_sum(spark):
+    def cells(array):
+        melted = grid.melt_array(spark.createDataFrame([(array,)], "a array<array<int>>"), "a")
+        return melted.select(F.col("i").alias("frame"), F.col("j").alias("scan"), F.col("value").cast("long").alias("n"))
+
+    got = grid.add_counts(cells([[1, 2], [3, 4]]), cells([[5, 0, 6]]), cells([[7], [0], [8]]))
+    assert sorted(tuples(got)) == [(0, 0, 13), (0, 1, 2), (0, 2, 6), (1, 0, 3), (1, 1, 4), (2, 0, 8)]
+
+
+def test_empty_inputs(spark):
+    none = spark.createDataFrame([], "frame int, scan int, tof int, intensity long")
+    for df in (
+        deduplicate(none), grid.count_cells(none), grid.count_cells_dense(none), grid.count_range(none, "tof", True), grid.cell_index(none),
+        grid.cell_cumsum(none), order.with_positions(none, ("frame", "scan", "tof")), neighborhood.stats(none, 5, 0.5), grid.repeat_rows(grid.count_cells(none)),
+    ):
+        assert df.count() == 0
+    placed = order.with_positions(none, ("frame", "scan"))
+    assert order.out_of_order(placed, ("frame",)).first()["ok"] and order.is_permutation(placed, "pos").first()["ok"]
+    assert tuple(grid.extrema(none, ("frame",)).first()) == (None, None)
+    assert tuples(grid.group_offsets(none)) == [(0, 0)]
+
+
+def test_group_map_and_constructor(spark):
+    df = schema.from_columns(spark, {"frame": [1, 1, 2], "scan": [1, 2, 3], "tof": [5, 5, 6], "intensity": [1, 2, 3]}, schema.PEAKS)
+    assert df.dtypes[:2] == [("frame", "int"), ("scan", "int")]
+    assert sorted(tuples(group_map(df, ("frame",), lambda g: {"total": int(g["intensity"].sum())}, "frame int, total long"))) == [(1, 3), (2, 3)]
+    with pytest.raises(ValueError):
+        schema.from_columns(spark, {"a": [1], "b": [1, 2]})
+    with pytest.raises(ValueError):
+        schema.require(df, "nothing")
+
+
+def test_storage(spark, v1, tmp_path):
+    files.write_peaks(v1, str(tmp_path / "peaks"))
+    assert merge.equal(files.read_peaks(spark, str(tmp_path / "peaks")), v1).first()[0]
+    assert files.read_peaks(spark, str(tmp_path / "peaks"), (2, 3)).count() == 5
+    files.write_npz(v1, str(tmp_path / "a.npz"))
+    assert sorted(tuples(files.read_npz(spark, str(tmp_path / "a.npz")).select(*v1.columns))) == sorted(V1)
+
+
+def test_predicates_reach_the_scan(spark, v1, tmp_path):
+    v1.write.parquet(str(tmp_path / "p"))
+    df = slices.box(spark.read.parquet(str(tmp_path / "p")), frame=(1, 2), scan=(3, 5), tof=(0, 20)).select("tof")
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    pushed = scan.metadata().get("PushedFilters").get()
+    for column in ("frame", "scan"):
+        assert f"GreaterThanOrEqual({column}," in pushed or "..." in pushed
+    assert scan.dataFilters().size() >= 6 + 3 and "intensity" not in scan.requiredSchema().simpleString()
+
+
+def test_one_shuffle_for_dedup_and_windows(spark):
+    from peakloom.plans.queries import _unique
+
+    plan = neighborhood.stats(_unique(spark, SMALL), 5, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_stream(spark, v1, tmp_path):
+    from peakloom.streaming.dedup import deduplicate_stream
+
+    v1.repartition(3).write.parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema(v1.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = deduplicate_stream(events, "peaks_so_far", str(tmp_path / "state"))
+    try:
+        query.processAllAvailable()
+        assert sorted(tuples(spark.table("peaks_so_far"))) == sorted(tuples(deduplicate(v1)))
+    finally:
+        query.stop()

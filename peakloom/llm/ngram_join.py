@@ -320,3 +320,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     some = some.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
     none = own.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
     return some.unionByName(none)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one document of each component: the one with the smallest id.
+
+    Documents with null ids stay, as do rows that repeat a kept id.
+    """
+    found = near_duplicates(docs, id_col, text_col, width, percent)
+    gone = cut(found.filter("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return docs.join(side, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")

@@ -38,7 +38,9 @@ class _Parts(dict):
     def __missing__(self, part: str) -> bytes:
         tail = self.tails.get(part[-1:])
         # letters and a closing mark never share a piece, so the word alone can be cached
-        ids = self[part[:-1]] + tail if tail is not None and part[:-1].isalpha() and max(part) < "\u0250" else self.encode(" " + part)
+        if tail is not None and part[:-1].lower().isalpha() and max(part) < "\u0250":
+            return self[part[:-1]] + tail
+        ids = self.encode(" " + part)
         if len(self) < CACHE_WORDS:
             self[part] = ids
         return ids

@@ -14,6 +14,8 @@ plain character class can repeat.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import cut, skew_join, text_of
@@ -24,6 +26,8 @@ MIN_DOCUMENTS, MIN_TRUST, MIN_SCORE = 5, 0.6, 0.9
 TURNS = 3
 #: Characters of an identifier that the method may add.
 LONGEST = 64
+#: Matches in one block of a running sum.
+BLOCK = 64
 
 _MARK = "\u0001"
 #: The base patterns over marked text.
@@ -40,25 +44,39 @@ def _marked(text: Column, inner: str) -> Column:
     return F.regexp_replace(F.translate(text, _MARK, "\u0002"), inner, _MARK)
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: a lambda's variable is not inlined."""
+    return F.transform(F.array(value), use)[0]
+
+
 def spans(text: Column, pattern: str) -> Column:
     """Array of structs (start, end, found): leftmost matches, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+    empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
+
+    def step(acc: Column, p: Column) -> Column:
+        begin = acc["at"] + F.length(p["g"])
+        end = begin + F.length(p["f"])
+        one = F.struct(begin.alias("start"), end.alias("end"), p["f"].alias("found"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    def place(pairs: Column) -> Column:
+        # running sums in blocks, so that a text of many matches costs little more for each
+        blocks = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / BLOCK).cast("int"))
+        inside = lambda b: F.slice(pairs, b * BLOCK + 1, F.lit(BLOCK))
+        sums = F.transform(blocks, lambda b: F.aggregate(inside(b), F.lit(0), lambda a, p: a + F.length(p["g"]) + F.length(p["f"])))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
 
-    def place(found: Column) -> Column:
-        pairs = F.arrays_zip(found.alias("f"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"))
-        empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
-        start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+        def unfold(starts: Column) -> Column:
+            first = lambda b: F.struct(F.get(starts, b).alias("at"), empty.alias("out"))
+            return F.flatten(F.transform(blocks, lambda b: F.aggregate(inside(b), first(b), step, lambda acc: acc["out"])))
 
-        def step(acc: Column, p: Column) -> Column:
-            begin = acc["at"] + F.length(p["g"])
-            end = begin + F.length(p["f"])
-            one = F.struct(begin.alias("start"), end.alias("end"), p["f"].alias("found"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        return _bind(starts, unfold)
 
-        return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["out"])).otherwise(empty)
+    def pair(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        return F.when(F.size(found) > 0, _bind(F.arrays_zip(found.alias("f"), gaps.alias("g")), place)).otherwise(empty)
 
-    return F.transform(F.array(found), place)[0]
+    return _bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), pair)
 
 
 def _digits(found: Column) -> Column:
@@ -88,9 +106,9 @@ def base_spans(text: Column) -> dict[str, Column]:
     card = lambda s: F.length(_digits(s["found"])).between(13, 19) & luhn(_digits(s["found"]))
     phone = lambda s: F.length(_digits(s["found"])).between(9, 15)
     return {
-        "email": F.when(F.contains(text, F.lit("@")), spans(dotted, _EMAIL)).otherwise(none),
+        "email": F.when(F.contains(text, F.lit("@")), _bind(dotted, lambda t: spans(t, _EMAIL))).otherwise(none),
         "ip": F.when(digit & F.contains(text, F.lit(".")), F.filter(spans(text, _IP), octets)).otherwise(none),
-        "card": F.when(digit, F.filter(spans(joined, _CARD), card)).otherwise(none),
+        "card": F.when(digit, F.filter(_bind(joined, lambda t: spans(t, _CARD)), card)).otherwise(none),
         "phone": F.when(F.contains(text, F.lit("+")), F.filter(spans(text, _PHONE), phone)).otherwise(none),
     }
 

@@ -26,6 +26,8 @@ MIN_DOCUMENTS, MIN_TRUST, MIN_SCORE = 5, 0.6, 0.9
 TURNS = 3
 #: Characters of an identifier that the method may add.
 LONGEST = 64
+#: Characters of context before and after a word, as far as the next such word.
+BEFORE, AFTER = 60, 30
 #: Matches in one block of a running sum.
 BLOCK = 64
 
@@ -49,14 +51,19 @@ def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Array of structs (start, end, found): leftmost matches, in code points."""
-    empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
+def spans(text: Column, pattern: str, context: bool = False) -> Column:
+    """Array of structs (start, end, found): leftmost matches, in code points.
+
+    With ``context`` also (before, after): the text between matches near each.
+    """
+    near = ",before:string,after:string" if context else ""
+    empty = F.array().cast(f"array<struct<start:int,end:int,found:string{near}>>")
 
     def step(acc: Column, p: Column) -> Column:
         begin = acc["at"] + F.length(p["g"])
         end = begin + F.length(p["f"])
-        one = F.struct(begin.alias("start"), end.alias("end"), p["f"].alias("found"))
+        around = [F.right(p["g"], F.lit(BEFORE)).alias("before"), F.left(p["h"], F.lit(AFTER)).alias("after")] if context else []
+        one = F.struct(begin.alias("start"), end.alias("end"), p["f"].alias("found"), *around)
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     def place(pairs: Column) -> Column:
@@ -73,8 +80,11 @@ def spans(text: Column, pattern: str) -> Column:
         return _bind(starts, unfold)
 
     def pair(found: Column) -> Column:
-        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-        return F.when(F.size(found) > 0, _bind(F.arrays_zip(found.alias("f"), gaps.alias("g")), place)).otherwise(empty)
+        def zipped(gaps: Column) -> Column:
+            ends = [F.slice(gaps, F.lit(2), F.size(found)).alias("h")] if context else []
+            return F.arrays_zip(found.alias("f"), F.slice(gaps, F.lit(1), F.size(found)).alias("g"), *ends)
+
+        return F.when(F.size(found) > 0, _bind(_bind(F.split(text, pattern, -1), zipped), place)).otherwise(empty)
 
     return _bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), pair)
 
@@ -205,8 +215,7 @@ def _based_with_words(based: DataFrame) -> DataFrame:
     clean = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\s=:#]", ""), r"\s+"), lambda x: x != "")
 
     def word(w: Column) -> Column:
-        left = clean(F.substring(text, F.greatest(F.lit(1), w["start"] - 59), F.least(F.lit(60), w["start"])))
-        right = clean(F.substring(text, w["end"] + 1, F.lit(30)))
+        left, right = clean(w["before"]), clean(w["after"])
         touching = F.filter("base", lambda b: (b["start"] < w["end"]) & (b["end"] > w["start"]))
 
         def contexts(left: Column) -> Column:
@@ -224,7 +233,7 @@ def _based_with_words(based: DataFrame) -> DataFrame:
         )
 
     none = F.array().cast("array<struct<start:int,end:int,found:string,kind:string,contexts:array<string>>>")
-    some = F.transform(spans(text, _WORDS), word)
+    some = F.transform(spans(text, _WORDS, context=True), word)
     return based.withColumn("words", F.when(F.regexp_like(text, F.lit("[0-9@]")), some).otherwise(none)).drop("text")
 
 

@@ -23,10 +23,14 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 6_000, 12_000
 FEATURES = 4096
 #: Documents of the sample that must have a feature.
 MIN_SUPPORT = 4
+#: Standard errors by which a selected feature's log odds differ from 0.
+MIN_STRENGTH = 2.5
+#: Penalty on squared weights.
+PENALTY = 0.1
 PREFIXES = (2, 3, 4, 5)
 GRADES = 3
 #: P(grade > 0) from which a document is rejected.
-REJECT = 0.5
+REJECT = 0.4
 CACHE_WORDS = 500_000
 _EDGES = re.compile(r"^\W+|\W+$")
 
@@ -79,7 +83,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds - score, -60, 60)))
 
 
-def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, lengths: np.ndarray, grades: np.ndarray, features: int, levels: int, l2: float = 1.0, steps: int = 400) -> tuple[np.ndarray, float, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, lengths: np.ndarray, grades: np.ndarray, features: int, levels: int, l2: float = PENALTY, steps: int = 400) -> tuple[np.ndarray, float, np.ndarray]:
     """Maximum penalised likelihood of the cumulative-link model by Adam, full batches.
 
     Thresholds are a first one and positive gaps, so they stay in order.
@@ -148,7 +152,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counted = counted.groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).filter(F.col("c") + F.col("t") >= MIN_SUPPORT)
     odds = F.log((F.col("t") + 0.5) / (totals[1] + 1)) - F.log((F.col("c") + 0.5) / (totals[0] + 1))
     strength = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    top = counted.withColumn("odds", odds).withColumn("z", strength).orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES)
+    told = counted.withColumn("odds", odds).withColumn("z", strength).filter(F.abs("z") >= MIN_STRENGTH)
+    top = told.orderBy(F.desc(F.abs("z")), "feature").limit(FEATURES)
     chosen = top.select("feature", "odds", "z").collect()
     index = {r["feature"]: i for i, r in enumerate(chosen)}
     marks = {i for i, r in enumerate(chosen) if r["odds"] > 2.5 and r["z"] > 4}

@@ -3,14 +3,16 @@
 1. Every text becomes its set of shingle hashes; equal sets form a class, and
    counts of repeated shingles give a global order, rare first.
 2. Two sets that link share a shingle among their first floor(n/4) + 1 in that
-   order. Tasks chain the classes that share one and send a single record for
-   each shingle on, so a shingle in a third of all documents costs one record
-   per task. Connected chains bound where links can be: the candidate groups.
+   order, at positions that leave enough shingles for the overlap (the remaining
+   length bounds the partner's size). Connected classes are the candidate groups.
 3. The sets of a candidate group, in blocks of at most BLOCK, are stored in a
    prefix tree, most shared first, and probed with remaining-length bounds;
    pairs already in one component are skipped. A group of many blocks joins its
-   blocks' components again, block-wise, until that changes nothing; only sets
-   outside its largest component are then probed against all of its blocks.
+   blocks' components again, block-wise, until that changes nothing. What is left
+   are the pairs that met at a shingle and are still apart: those are compared.
+   For a shingle of more than CROWDED classes, such pairs are made only between
+   its main component and the rest; one of more than COMBINED in a task becomes a
+   few records there, and its group's blocks are probed against each other.
 No link between different sets is lost and no group meets in one task.
 """
 
@@ -36,9 +38,9 @@ CHUNK = 2_000_000
 #: Records in one bucket of the shuffle by shingle.
 BUCKET = 2_000_000
 #: A count within a chunk from which a shingle is reported; most kept by count.
-REPORTED, ORDERED = 3, 1_000_000
-#: Classes on one shingle from which it is moved back in the order, and how often.
-CROWDED, TURNS = 1024, 2
+REPORTED, ORDERED = 2, 1_000_000
+#: Classes on one shingle whose pairs are all named; in a task, kept apart.
+CROWDED, COMBINED = 16, 4096
 #: Rows of a checked broadcast of candidate ids.
 BROADCAST_ROWS = 1_000_000
 
@@ -103,37 +105,97 @@ def prefix(own: np.ndarray, order: tuple[np.ndarray, np.ndarray], percent: int =
     return own[np.lexsort((own, weight))[:take]]
 
 
-def _chains(tokens: np.ndarray, nodes: np.ndarray, counts: np.ndarray) -> tuple:
-    """By token the least node and the sum of counts; and edges from the others to it."""
-    by = np.lexsort((nodes, tokens))
-    tokens, nodes, counts = tokens[by], nodes[by], counts[by]
-    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    lengths = np.diff(np.r_[starts, len(tokens)])
-    least = np.repeat(nodes[starts], lengths)
-    apart = nodes != least
-    edges = np.unique(np.stack([nodes[apart], least[apart]], 1), axis=0) if apart.any() else np.empty((0, 2), nodes.dtype)
-    return tokens[starts], nodes[starts], np.add.reduceat(counts, starts), edges
+def largest_partner(n: int, take: int, percent: int = PERCENT) -> np.ndarray:
+    """For each position in the prefix of a set of n, the most shingles of a set that first meets it there.
+
+    The overlap is then at most n - position, and percent * (n + m) / (100 + percent) at least.
+    """
+    return ((100 + percent) * (n - np.arange(take)) // percent - n).astype(np.int64)
+
+
+#: What is sent on for a shingle: who has it, the least size, the largest partner.
+_RECORD = np.dtype([("token", "<u8"), ("node", "<i8"), ("least", "<u4"), ("partner", "<u4")])
+
+
+def _grouped(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Records in order of token and size, with the starts and lengths of the tokens."""
+    records = records[np.lexsort((records["least"], records["token"]))]
+    tokens = records["token"]
+    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.empty(0, np.int64)
+    return records, starts, np.diff(np.r_[starts, len(tokens)])
+
+
+def _chained(group: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple]]:
+    """Edges and combined records of one token's records, taken as overlapping intervals.
+
+    Two records can only link if each one's least size is within the other's
+    largest partner, so sorted by size, whatever links lies in one interval.
+    """
+    edges, out = [], []
+    for token, node, least, partner in group.tolist():
+        if out and least <= out[-1][3]:
+            edges.append((node, out[-1][1]))
+            out[-1] = (token, out[-1][1], out[-1][2], max(partner, out[-1][3]))
+        else:
+            out.append((token, node, least, partner))
+    return edges, out
+
+
+def _meeting(records: np.ndarray, crowded: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of nodes that may link; for crowded tokens, edges that connect them and their records."""
+    records, starts, lengths = _grouped(records)
+    edges = []
+    for a, n in zip(starts[lengths > crowded], lengths[lengths > crowded]):
+        edges += _chained(records[a : a + n])[0]
+    few = records[np.repeat((lengths > 1) & (lengths <= crowded), lengths)]
+    pairs, step = [np.empty((0, 2), np.int64)], 1
+    while len(few) > step:
+        one, other = few[:-step], few[step:]
+        same = one["token"] == other["token"]
+        if not same.any():
+            break
+        ok = same & (other["least"] <= one["partner"]) & (one["least"] <= other["partner"]) & (one["node"] != other["node"])
+        pairs.append(np.stack([one["node"][ok], other["node"][ok]], 1))
+        step += 1
+    return _distinct(np.concatenate(pairs)), _distinct(np.array(edges, np.int64).reshape(-1, 2)), records[np.repeat(lengths > crowded, lengths)]
+
+
+def _distinct(edges: np.ndarray) -> np.ndarray:
+    return np.unique(np.sort(edges, axis=1), axis=0)
 
 
-def candidate_edges(docs: DataFrame, id_col: str, text_col: str, buckets: int, order, width: int, percent: int) -> DataFrame:
-    """Rows (a, b) of classes that may link, and (token, n) of crowded shingles."""
-    held = docs.sparkSession.sparkContext.broadcast(order)
+#: Kinds of rows about classes: a pair that may link, an edge of a crowded shingle,
+#: an edge of one combined in a task, and a class (a) on a crowded shingle.
+PAIR, EDGE, COMBINED_EDGE, MEMBER = range(4)
+
+
+def candidate_edges(docs: DataFrame, text_col: str, buckets: int, order, width: int, percent: int) -> DataFrame:
+    """Rows (kind, a, b, token, least, partner), in one shuffle of packed records by shingle."""
+    held = docs.sparkSession.sparkContext.broadcast(order)  # at most ORDERED shingles and counts
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, nodes, size, seen = [], [], 0, set()
-
-        def combined() -> Iterator[pa.RecordBatch]:
-            tok, node = np.concatenate(tokens), np.repeat(np.array(nodes, np.int64), [len(t) for t in tokens])
-            tok, node, count, edges = _chains(tok, node, np.ones(len(tok), np.int64))
-            none = pa.nulls(len(edges), pa.binary())
-            yield _batch(bucket=pa.nulls(len(edges), pa.int64()), a=_longs(edges[:, 0]), b=_longs(edges[:, 1]), blob=none)
-            bucket = (tok % np.uint64(buckets)).astype(np.int64)
+        parts, size, seen = [], 0, set()
+
+        def combined() -> pa.RecordBatch:
+            records, starts, lengths = _grouped(np.concatenate(parts))
+            edges, fewer = [], []
+            many = lengths > COMBINED
+            for a, n in zip(starts[many], lengths[many]):
+                more, combined = _chained(records[a : a + n])
+                edges += more
+                fewer += combined
+            records = np.concatenate([records[np.repeat(~many, lengths)], np.array(fewer, _RECORD)])
+            bucket = (records["token"] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
-            packed = np.stack([tok.view(np.int64), node, count], 1)[by]
             present, at = np.unique(bucket[by], return_index=True)
-            blobs = [x.tobytes() for x in np.split(packed, at[1:])]
-            none = pa.nulls(len(present), pa.int64())
-            yield _batch(bucket=pa.array(present), a=none, b=none, blob=pa.array(blobs, pa.binary()))
+            blobs = [x.tobytes() for x in np.split(records[by], at[1:])]
+            edges = np.unique(np.array(edges, np.int64).reshape(-1, 2), axis=0)
+            dealt = [edges[np.abs(edges[:, 0]) % buckets == k].tobytes() for k in present.tolist()] if len(edges) else [b""] * len(present)
+            missing = sorted(set((np.abs(edges[:, 0]) % buckets).tolist()) - set(present.tolist()))
+            dealt += [edges[np.abs(edges[:, 0]) % buckets == k].tobytes() for k in missing]
+            return _batch(
+                bucket=pa.array([*present.tolist(), *missing], pa.int64()), blob=pa.array(blobs + [b""] * len(missing), pa.binary()), edges=pa.array(dealt, pa.binary())
+            )
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -144,34 +206,38 @@ def candidate_edges(docs: DataFrame, id_col: str, text_col: str, buckets: int, o
                 if node in seen:
                     continue
                 seen.add(node)
-                tokens.append(prefix(own, held.value, percent))
-                nodes.append(node)
-                size += len(tokens[-1])
+                first = prefix(own, held.value, percent)
+                records = np.empty(len(first), _RECORD)
+                records["token"], records["node"], records["least"] = first, node, len(own)
+                records["partner"] = np.maximum(0, largest_partner(len(own), len(first), percent))
+                parts.append(records)
+                size += len(records)
             if size >= CHUNK:
-                yield from combined()
-                tokens, nodes, size, seen = [], [], 0, set()
-        if tokens:
-            yield from combined()
+                yield combined()
+                parts, size, seen = [], 0, set()
+        if parts:
+            yield combined()
 
     def meet(table: pa.Table) -> pa.Table:
-        packed = np.frombuffer(b"".join(table.column("blob").to_pylist()), np.int64).reshape(-1, 3)
-        tok, _, count, edges = _chains(packed[:, 0].view(np.uint64), packed[:, 1], packed[:, 2])
-        crowded = count > CROWDED
-        none, gone = pa.nulls(len(edges), pa.int64()), pa.nulls(int(crowded.sum()), pa.int64())
-        return pa.Table.from_batches([
-            _batch(a=_longs(edges[:, 0]), b=_longs(edges[:, 1]), token=none, n=none),
-            _batch(a=gone, b=gone, token=_longs(tok[crowded]), n=pa.array(count[crowded])),
-        ])
-
-    sent = cut(docs.select(F.col(text_col).alias("text")).mapInArrow(spread, "bucket long, a long, b long, blob binary"))
-    far = sent.filter("bucket is not null").groupBy("bucket").applyInArrow(meet, "a long, b long, token long, n long")
-    near = sent.filter("bucket is null").select("a", "b", F.lit(None).cast("long").alias("token"), F.lit(None).cast("long").alias("n"))
-    return cut(far.unionByName(near))
-
-
-def _order(rows: list) -> tuple[np.ndarray, np.ndarray]:
-    tokens = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    counts = np.array([r[1] for r in rows], np.int64)
+        records = np.frombuffer(b"".join(table.column("blob").to_pylist()), _RECORD)
+        ready = np.frombuffer(b"".join(table.column("edges").to_pylist()), np.int64).reshape(-1, 2)
+        pairs, edges, members = _meeting(records, CROWDED)
+        kinds = (PAIR, pairs), (EDGE, edges), (COMBINED_EDGE, _distinct(ready)), (MEMBER, np.stack([members["node"], members["node"]], 1))
+        both = np.concatenate([e for _, e in kinds])
+        apart, none = len(both) - len(members), pa.nulls
+        late = lambda values, kind: pa.concat_arrays([none(apart, kind), pa.array(values, kind)])
+        return pa.table({
+            "kind": pa.array(np.repeat([k for k, _ in kinds], [len(e) for _, e in kinds]), pa.int32()),
+            "a": _longs(both[:, 0]), "b": _longs(both[:, 1]), "token": late(members["token"].view(np.int64), pa.int64()),
+            "least": late(members["least"].astype(np.int64), pa.int64()), "partner": late(members["partner"].astype(np.int64), pa.int64()),
+        })
+
+    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(spread, "bucket long, blob binary, edges binary")
+    return cut(sent.groupBy("bucket").applyInArrow(meet, "kind int, a long, b long, token long, least long, partner long"))
+
+
+def _order(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    tokens, counts = rows.column("token").to_numpy().astype(np.int64).view(np.uint64), rows.column("n").to_numpy().astype(np.int64)
     by = np.argsort(tokens)
     return tokens[by], counts[by]
 
@@ -238,35 +304,41 @@ def _relabel(rows: DataFrame, links: DataFrame) -> DataFrame:
     return moved.select(*rows.columns).unionByName(kept.select(*rows.columns))
 
 
-def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def links(docs: DataFrame, rows: DataFrame, edges: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """Links (a, b) between class representatives that span the components.
 
-    ``rows`` are the classes (rep, n, hi, lo, comp) in candidate groups.
+    ``rows`` are the classes (rep, n, hi, lo, comp) in candidate groups, ``edges``
+    what :func:`candidate_edges` has for them.
     """
     blocked = cut(_blocked(rows))
     sets = _sets(docs, blocked.select("rep", "hi", "lo", "comp", "block", "blocks", "n"), id_col, text_col, width)
     yes, no = F.lit(True), F.lit(False)
     bins = lambda n: max(partitions(docs.sparkSession), -(-n // (2 * BLOCK)))
-    simple = sets.select("comp", "block", F.lit(-1).cast("long").alias("other"), "rep", F.col("rep").alias("label"), "tokens", yes.alias("stored"), yes.alias("probing"))
-    found = [cut(_linked(simple, bins(sets.count()), percent))]
+    alone = lambda df: df.select("comp", "block", F.lit(-1).cast("long").alias("other"), "rep", F.col("rep").alias("label"), "tokens", yes.alias("stored"), yes.alias("probing"))
+    found = [cut(_linked(alone(sets), bins(sets.count()), percent))]
     large = sets.filter("blocks > 1")
     if large.isEmpty():
         return found[0]
     labels = cut(_relabel(large.select("rep", "comp", "n", F.col("rep").alias("label")), found[0]))
     while True:
-        roots = labels.filter("rep = label").select("rep", "comp", "n")
+        roots = cut(labels.filter("rep = label").select("rep", "comp", "n"))
         count = roots.count()
-        again = _blocked(roots).join(sets.select("rep", "tokens"), "rep")
-        again = again.select("comp", "block", F.lit(-1).cast("long").alias("other"), "rep", F.col("rep").alias("label"), "tokens", yes.alias("stored"), yes.alias("probing"))
-        more = cut(_linked(again, bins(count), percent))
+        more = cut(_linked(alone(_blocked(roots).join(sets.select("rep", "tokens"), "rep")), bins(count), percent))
         found.append(more)
         labels = cut(_relabel(labels, more))
         if labels.filter("rep = label").count() > 0.7 * count:
             break
+    own = labels.join(rows.select("rep", "lo"), "rep").select("rep", "label", F.col("lo").alias("node"))
+    found.append(cut(_compared(_apart(cut(own), edges), large.select("rep", "tokens"), percent)))
+    combined = edges.filter(F.col("kind") == COMBINED_EDGE).select(F.col("a").alias("lo"))
+    crowded = cut(rows.join(combined, "lo", "left_semi").select("comp").distinct())
+    if crowded.isEmpty():
+        return union(found)
+    labels = cut(_relabel(labels.join(crowded, "comp", "left_semi"), found[-1]))
     sizes = cut(labels.groupBy("comp", "label").agg(F.count(F.lit(1)).alias("size")))
     main = sizes.groupBy("comp").agg(F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    outside = sizes.join(main, "comp").filter("label <> top.label").select("comp", "label")
-    outer = cut(labels.join(outside.drop("comp"), "label").select("rep", "comp", "n", "label"))
+    outside = sizes.join(main, "comp").filter("label <> top.label").select("label")
+    outer = cut(labels.join(outside, "label").select("rep", "comp", "n", "label"))
     if outer.isEmpty():
         return union(found)
     probes = _blocked(outer).select("comp", "rep", "label", F.col("block").alias("other"))
@@ -277,11 +349,47 @@ def links(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, width: i
     fields = ("comp", "block", "other", "rep", "label", "tokens")
     probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     crossed = probes.select(*fields, no.alias("stored"), yes.alias("probing")).unionByName(theirs.select(*fields, yes.alias("stored"), no.alias("probing")))
-    pairs = outer.count() // BLOCK + 1
-    found.append(cut(_linked(crossed, bins(pairs * 2 * labels.count()), percent)))
+    found.append(cut(_linked(crossed, bins(2 * (outer.count() // BLOCK + 1) * labels.count()), percent)))
     return union(found)
 
 
+def _apart(own: DataFrame, edges: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of representatives that met and have different labels.
+
+    ``own`` has (rep, label, node). On a crowded shingle, only classes outside
+    its most frequent label are paired with the others.
+    """
+    one = own.select(F.col("node").alias("a"), F.col("rep").alias("rep_a"), F.col("label").alias("label_a"))
+    other = own.select(F.col("node").alias("b"), F.col("rep").alias("rep_b"), F.col("label").alias("label_b"))
+    pairs = edges.filter(F.col("kind") == PAIR).select("a", "b").distinct().join(one, "a").join(other, "b")
+    members = cut(edges.filter(F.col("kind") == MEMBER).select("token", F.col("a").alias("node"), "least", "partner").join(own, "node").drop("node"))
+    shares = members.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"))
+    mixed = shares.groupBy("token").agg(F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    members = cut(members.join(mixed.select("token", F.col("top.label").alias("top")), "token"))
+    rest = members.filter("label <> top").select("token", F.col("rep").alias("rep_a"), F.col("label").alias("label_a"), F.col("least").alias("least_a"), F.col("partner").alias("partner_a"))
+    everyone = members.select("token", F.col("rep").alias("rep_b"), F.col("label").alias("label_b"), "least", "partner")
+    crowd = rest.join(everyone, "token").filter("least <= partner_a and least_a <= partner")
+    named = lambda df: df.filter("label_a <> label_b").select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+    return named(pairs).union(named(crowd)).distinct()
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets link."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                one, other = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                linked.append(100 * both >= percent * (len(one) + len(other) - both))
+            yield _batch(a=batch.column("a"), b=batch.column("b")).filter(pa.array(linked, pa.bool_()))
+
+    one = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x"))
+    other = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y"))
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id, class_id.
 
@@ -298,20 +406,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own.filter("n > 0").groupBy("key", "n", "hi", "lo").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size"))
     )
     counted = described.filter("token is not null").groupBy("token").agg(F.sum("n").alias("n"))
-    order = _order(counted.orderBy(F.desc("n"), "token").limit(ORDERED).collect())
+    order = _order(counted.orderBy(F.desc("n"), "token").limit(ORDERED).toArrow())
     tokens = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     buckets = max(partitions(spark), -(-tokens * (100 - percent) // 100 // BUCKET))
-    for turn in range(TURNS + 1):
-        edges = candidate_edges(docs, id_col, text_col, buckets, order, width, percent)
-        crowded = edges.filter("token is not null").select("token", "n").orderBy(F.desc("n"), "token").limit(ORDERED).collect()
-        known = set(order[0].view(np.int64).tolist())
-        fresh = [r for r in crowded if r[0] not in known]
-        if not fresh or turn == TURNS:
-            break
-        order = _order([*zip(order[0].view(np.int64).tolist(), order[1].tolist()), *fresh])
-    groups = components(edges.filter("a is not null").select("a", "b"))
+    edges = candidate_edges(docs, text_col, buckets, order, width, percent)
+    groups = components(edges.filter(F.col("kind") != MEMBER).select("a", "b"))
     candidates = classes.join(groups, F.col("lo") == F.col("node")).select("rep", "n", "hi", "lo", F.col("component").alias("comp"))
-    found = components(links(docs, cut(candidates), id_col, text_col, width, percent))
+    found = components(links(docs, cut(candidates), edges, id_col, text_col, width, percent))
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", "size", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")
     )

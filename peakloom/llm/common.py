@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Groups above total / HOT_SHARE rows count as hot, so at most HOT_SHARE are.
 HOT_SHARE = 1000
+#: Distinct edges that one task may join; beyond it components are found in rounds.
+LOCAL_EDGES = 1_000_000
 #: Rows in one Arrow batch: bounds a Python worker's memory for long texts.
 ARROW_ROWS = 512
 
@@ -81,14 +86,38 @@ def _with_least(edges: DataFrame, total: int) -> DataFrame:
     return skew_join(edges, _least(edges), "a", "size", total)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all edges of a task."""
+    got = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+    if not got:
+        return
+    a, b = (np.concatenate(c) for c in zip(*got))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = list(range(len(nodes)))
+    for x, y in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    for x in range(len(up)):
+        up[x] = up[up[x]]  # parents come first and are already at their root
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(nodes[up], pa.int64())], names=["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components by alternating large-star and small-star steps.
+    """Connected components: a row ``(node, component)`` for every node of an edge.
 
-    ``edges`` has long columns a and b; the result has a row ``(node,
-    component)`` for every node of an edge, with the smallest node as component.
-    Self-loops and repeated edges are allowed; no edges give no rows. Hub nodes
-    are joined by :func:`skew_join`, and each step is checkpointed.
+    ``edges`` has long columns a and b; the component is its smallest node.
+    Self-loops and repeated edges are allowed; no edges give no rows. Up to
+    LOCAL_EDGES distinct edges are joined by one task. More go through
+    alternating large-star and small-star steps, each checkpointed, where hub
+    nodes are joined by :func:`skew_join`.
     """
+    edges = cut(edges.select("a", "b").distinct())
+    if edges.count() <= LOCAL_EDGES:
+        return cut(edges.coalesce(1).mapInArrow(_joined, "node long, component long"))
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     now = cut(
         edges.filter("a <> b")

@@ -373,8 +373,42 @@ def _apart(own: DataFrame, edges: DataFrame) -> DataFrame:
     return named(pairs).union(named(crowd)).distinct()
 
 
+def signature(own: np.ndarray) -> bytes:
+    """A power of two of bits, at least two for each hash; each hash flips the bit of its low bits."""
+    bits = max(64, 1 << (2 * len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_difference(one: bytes, other: bytes) -> int:
+    """A lower bound of the symmetric difference of two sets, from their signatures.
+
+    Folding a signature's halves onto each other gives that of half the bits.
+    """
+    x, y = sorted((np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets link."""
+    """Those of ``pairs`` (a, b) whose sets link.
+
+    Signatures, a thirtieth of the sets, first clear the pairs that differ too
+    much for a link; only the others meet with their whole sets.
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owns = [np.frombuffer(t, np.uint64) for t in batch.column("tokens").to_pylist()]
+            yield _batch(rep=batch.column("rep"), n=pa.array([len(o) for o in owns], pa.int64()), sign=pa.array([signature(o) for o in owns], pa.binary()))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("x", "y", "n", "m"))
+            # of n + m, an overlap of percent * (n + m) / (100 + percent) leaves this difference
+            ok = [least_difference(x, y) * (100 + percent) <= (100 - percent) * (n + m) for x, y, n, m in zip(*columns)]
+            yield _batch(a=batch.column("a"), b=batch.column("b")).filter(pa.array(ok, pa.bool_()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -385,9 +419,13 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 linked.append(100 * both >= percent * (len(one) + len(other) - both))
             yield _batch(a=batch.column("a"), b=batch.column("b")).filter(pa.array(linked, pa.bool_()))
 
+    signs = cut(sets.select("rep", "tokens").mapInArrow(sign, "rep long, n long, sign binary"))
+    met = pairs.join(signs.select(F.col("rep").alias("a"), "n", F.col("sign").alias("x")), "a")
+    met = met.join(signs.select(F.col("rep").alias("b"), F.col("n").alias("m"), F.col("sign").alias("y")), "b")
+    left = cut(met.select("a", "b", "x", "y", "n", "m").mapInArrow(near, "a long, b long"))
     one = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("x"))
     other = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
+    return left.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

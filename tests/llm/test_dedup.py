@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from peakloom.llm import exact_dedup, ngram_join
+from peakloom.llm import common, exact_dedup, ngram_join
 from peakloom.llm.common import components
 from peakloom.llm.prefix_tree import spanning_links
 
@@ -40,7 +40,9 @@ def test_exact_edges(spark, none):
     assert sorted(map(repr, exact_dedup.drop_duplicates(twice).collect())) == ["Row(doc_id=1, text='x')", "Row(doc_id=None, text='y')"]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("local", [1_000_000, 1])
+def test_components(spark, monkeypatch, local):
+    monkeypatch.setattr(common, "LOCAL_EDGES", local)
     edges = [(1, 2), (2, 3), (3, 1), (7, 7), (10, 11), (12, 11), (20, 15)] + [(100, k) for k in range(101, 400)] + [(k, k + 1) for k in range(500, 560)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got[3] == 1 and got[7] == 7 and got[12] == 10 and got[20] == 15 and got[399] == 100 and got[560] == 500
@@ -64,9 +66,9 @@ def test_ngram_join(docs, expected):
     assert len({c for _, c in expected.values()}) < len(expected) - 20
 
 
-@pytest.mark.parametrize(("block", "crowded", "chunk"), [(2, 1024, 2_000_000), (3, 1, 500)])
-def test_ngram_join_in_blocks(docs, expected, monkeypatch, block, crowded, chunk):
-    for name, value in (("BLOCK", block), ("CROWDED", crowded), ("CHUNK", chunk), ("BROADCAST_ROWS", 0)):
+@pytest.mark.parametrize(("block", "crowded", "combined", "chunk"), [(2, 64, 4096, 2_000_000), (3, 2, 4096, 500), (2, 1, 2, 2_000_000)])
+def test_ngram_join_in_blocks(docs, expected, monkeypatch, block, crowded, combined, chunk):
+    for name, value in (("BLOCK", block), ("CROWDED", crowded), ("COMBINED", combined), ("CHUNK", chunk), ("BROADCAST_ROWS", 0)):
         monkeypatch.setattr(ngram_join, name, value)
     assert as_map(ngram_join.near_duplicates(docs)) == expected
 
@@ -84,6 +86,14 @@ def test_drop_near_duplicates(docs, expected):
     assert {r["doc_id"] for r in left.collect()} == {c for _, c in expected.values()}
 
 
+def test_signatures_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        one = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 300)).astype(np.uint64))
+        other = np.unique(np.r_[one[rng.random(len(one)) < rng.random()], rng.integers(0, 1 << 63, rng.integers(1, 400)).astype(np.uint64)])
+        assert ngram_join.least_difference(ngram_join.signature(one), ngram_join.signature(other)) <= len(np.setxor1d(one, other))
+
+
 def test_tree_finds_every_link():
     rng = np.random.default_rng(1)
     for _ in range(30):

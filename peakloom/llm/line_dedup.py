@@ -12,6 +12,7 @@ leading tokens, and where that isn't enough, each line is its own template.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ CHUNK = 500_000
 #: Rows of a checked broadcast of leaves; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
-FIELD = b"<*>"
+FIELD = "<*>"
+_DIGIT = re.compile(r"\d")
 _KEEP = (1 << 63) - 1
 
 
@@ -41,23 +43,27 @@ def _hash(data: bytes) -> int:
     return xxh3_64_intdigest(data) & _KEEP
 
 
-def masked(line: str) -> list[bytes]:
+def masked(line: str) -> list[str]:
     """The line's tokens, those with digits as fields."""
-    return [FIELD if any(c.isdigit() for c in t) else t.encode("utf-8", "surrogatepass") for t in line.split()]
+    tokens = line.split()
+    return [FIELD if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
 
 
-def leaf(tokens: list[bytes], depth: int) -> int:
+def _joined(tokens: list[str]) -> bytes:
+    return "\0".join(tokens).encode("utf-8", "surrogatepass")
+
+
+def leaf(tokens: list[str], depth: int) -> int:
     """The hash of the tree's path: token count and leading tokens."""
-    return _hash(b"%d\0" % len(tokens) + b"\0".join(tokens[:depth]))
+    return _hash(b"%d\0" % len(tokens) + _joined(tokens[:depth]))
 
 
-def lines_of(text: str) -> Iterator[tuple[int, list[bytes]]]:
+def lines_of(text: str) -> Iterator[tuple[int, list[str]]]:
     """Number and masked tokens of the lines that are long enough."""
     for i, line in enumerate(text.split("\n")):
-        if line.count(" ") >= MIN_TOKENS - 1 or "\t" in line:
-            tokens = masked(line)
-            if len(tokens) >= MIN_TOKENS:
-                yield i, tokens
+        tokens = masked(line)
+        if len(tokens) >= MIN_TOKENS:
+            yield i, tokens
 
 
 def leaf_counts(docs: DataFrame) -> DataFrame:
@@ -83,18 +89,18 @@ def leaf_counts(docs: DataFrame) -> DataFrame:
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
-    """A row per long enough line: row, no, leaf, deep (the next depth), line, tokens (hashes)."""
+    """A row per long enough line: row, no, leaf, deep (the next depth), line (hash), tokens (masked)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for no, t in lines_of(text):
-                    out.append((row, no, leaf(t, DEPTHS[0]), leaf(t, DEPTHS[1]), _hash(b"\0".join(t)), t))
+                    whole = _joined(t)
+                    out.append((row, no, leaf(t, DEPTHS[0]), leaf(t, DEPTHS[1]), _hash(whole), whole))
             row, no, first, deep, line, tokens = zip(*out) if out else ((),) * 6
-            packed = [np.array([_hash(x) & 0xFFFFFFFF if x != FIELD else 0 for x in t], np.uint32).tobytes() for t in tokens]
             longs = [pa.array(c, pa.int64()) for c in (row, no, first, deep, line)]
-            yield pa.RecordBatch.from_arrays([*longs, pa.array(packed, pa.binary())], names=["row", "no", "leaf", "deep", "line", "tokens"])
+            yield pa.RecordBatch.from_arrays([*longs, pa.array(tokens, pa.binary())], names=["row", "no", "leaf", "deep", "line", "tokens"])
 
     return docs.mapInArrow(work, "row long, no long, leaf long, deep long, line long, tokens binary")
 
@@ -131,8 +137,10 @@ def templates(lines: DataFrame) -> DataFrame:
 
     def work(table: pa.Table) -> pa.Table:
         leaves: dict[int, list] = {}
+        field = FIELD.encode()
         for at, line, tokens in zip(*(table.column(c).to_pylist() for c in ("leaf", "line", "tokens"))):
-            leaves.setdefault(at, []).append((line, np.frombuffer(tokens, np.uint32)))
+            hashes = [_hash(t) if t != field else 0 for t in tokens.split(b"\0")]
+            leaves.setdefault(at, []).append((line, np.array(hashes, np.int64)))
         found = {k: v for group in leaves.values() for k, v in grow(group).items()}
         return pa.table({"line": pa.array(list(found), pa.int64()), "template": pa.array(list(found.values()), pa.int64())})
 

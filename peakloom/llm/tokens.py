@@ -28,6 +28,7 @@ class _Parts(dict):
         super().__init__()
         self.tokenizer = tokenizer
         self.tails = {t: self.encode(t) for t in _TAILS}
+        self.folds = self.encode(" Aé") == self.encode(" aÉ")  # the vocabulary has no case
 
     def encode(self, text: str) -> bytes:
         ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -40,7 +41,11 @@ class _Parts(dict):
         # letters and a closing mark never share a piece, so the word alone can be cached
         if tail is not None and part[:-1].lower().isalpha() and max(part) < "\u0250":
             return self[part[:-1]] + tail
-        ids = self.encode(" " + part)
+        lower = part.lower()
+        if self.folds and lower != part and len(lower) == len(part) and max(part) < "\u0250":
+            ids = self[lower]
+        else:
+            ids = self.encode(" " + part)
         if len(self) < CACHE_WORDS:
             self[part] = ids
         return ids

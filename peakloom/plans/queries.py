@@ -315,27 +315,27 @@ _add("dataset_equal", "SELECT true AS equal", lambda s, d: merge.equal(_levels(s
 
 _NEAR = f"""
     placed AS (
-        SELECT *, row_number() OVER (PARTITION BY frame, tof ORDER BY scan) - 1 AS at,
+        SELECT *, row_number() OVER (PARTITION BY frame, tof ORDER BY scan) - 1 AS place,
                count(*) OVER (PARTITION BY frame, tof) AS span
         FROM peaks
     ),
     joined AS (
-        SELECT a.frame, a.scan, a.tof, a.intensity, a.at, a.span, b.at AS b_at, b.intensity AS b_int,
-               b.at >= a.at + {RADIUS} AS beyond
+        SELECT a.frame, a.scan, a.tof, a.intensity, a.place, a.span, b.place AS b_at, b.intensity AS b_int,
+               b.place >= a.place + {RADIUS} AS beyond
         FROM placed a JOIN placed b ON a.frame = b.frame AND a.tof = b.tof AND b.scan BETWEEN a.scan - {RADIUS} AND a.scan + {RADIUS}
     ),
     near AS (
-        SELECT frame, scan, tof, intensity, at, span,
+        SELECT frame, scan, tof, intensity, place, span,
                count(*) AS event_count,
                count(*) FILTER (WHERE NOT beyond) AS event_count_strict,
                CAST(sum(b_int) AS BIGINT) AS tic,
                CAST(sum(b_int) FILTER (WHERE NOT beyond) AS BIGINT) AS tic_strict,
-               max(b_int) FILTER (WHERE b_at <> at) AS max_others,
-               max(b_int) FILTER (WHERE b_at <> at AND NOT beyond) AS max_others_strict,
-               max(b_at) FILTER (WHERE b_at < at AND b_int <= {FRACTION} * intensity) AS fail_left,
-               min(b_at) FILTER (WHERE b_at > at AND b_int <= {FRACTION} * intensity) AS fail_right,
+               max(b_int) FILTER (WHERE b_at <> place) AS max_others,
+               max(b_int) FILTER (WHERE b_at <> place AND NOT beyond) AS max_others_strict,
+               max(b_at) FILTER (WHERE b_at < place AND b_int <= {FRACTION} * intensity) AS fail_left,
+               min(b_at) FILTER (WHERE b_at > place AND b_int <= {FRACTION} * intensity) AS fail_right,
                min(b_at) AS first_at, max(b_at) AS last_at
-        FROM joined GROUP BY frame, scan, tof, intensity, at, span
+        FROM joined GROUP BY frame, scan, tof, intensity, place, span
     ),
     full_stats AS (
         SELECT *, coalesce(fail_left + 1, first_at) AS run_start, coalesce(fail_right, last_at + 1) AS run_end,

@@ -6,8 +6,10 @@ positions share a template, whose differing positions are fields too. A template
 in enough documents is boilerplate, and its lines are dropped from all of them.
 
 Leaves in too few documents can't hold such a template, so only the lines of the
-others, as hashes, go on. A leaf of too many different lines is divided by more
-leading tokens, and where that isn't enough, each line is its own template.
+others, as hashes, go on. A leaf of too many different lines is dealt to blocks
+whose templates are merged again, until no two of the leaf's can be: first in
+fewer blocks each round, and where templates stay too many for one block, with
+every block meeting every other.
 """
 
 from __future__ import annotations
@@ -17,18 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from xxhash import xxh3_64_intdigest
 
-from .common import cut, partitions, skew_join, small_batches, text_of
+from .common import components, cut, partitions, skew_join, small_batches, text_of, union
 
-DEPTHS = (3, 6)
+DEPTH = 3
 #: Share of positions that lines of one template agree in.
 SIMILARITY = 0.7
 MIN_DOCUMENTS = 8
 #: Lines of fewer tokens are kept: they are no passages.
 MIN_TOKENS = 4
-#: Different lines in a leaf, beyond which it is divided.
+#: Different lines in a leaf, beyond which it is dealt to blocks.
 LEAF_LINES = 4096
 CHUNK = 500_000
 #: Rows of a checked broadcast of leaves; beyond it they are joined by shuffle.
@@ -53,9 +55,9 @@ def _joined(tokens: list[str]) -> bytes:
     return "\0".join(tokens).encode("utf-8", "surrogatepass")
 
 
-def leaf(tokens: list[str], depth: int) -> int:
+def leaf(tokens: list[str]) -> int:
     """The hash of the tree's path: token count and leading tokens."""
-    return _hash(b"%d\0" % len(tokens) + _joined(tokens[:depth]))
+    return _hash(b"%d\0" % len(tokens) + _joined(tokens[:DEPTH]))
 
 
 def lines_of(text: str) -> Iterator[tuple[int, list[str]]]:
@@ -79,7 +81,7 @@ def leaf_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for at in {leaf(t, DEPTHS[0]) for _, t in lines_of(text)}:
+                for at in {leaf(t) for _, t in lines_of(text)}:
                     counts[at] = counts.get(at, 0) + 1
             if len(counts) > CHUNK:
                 yield flush()
@@ -89,7 +91,7 @@ def leaf_counts(docs: DataFrame) -> DataFrame:
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
-    """A row per long enough line: row, no, leaf, deep (the next depth), line (hash), tokens (masked)."""
+    """A row per long enough line: row, no, leaf, line (hash), tokens (masked)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,56 +99,122 @@ def _line_rows(docs: DataFrame) -> DataFrame:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for no, t in lines_of(text):
                     whole = _joined(t)
-                    out.append((row, no, leaf(t, DEPTHS[0]), leaf(t, DEPTHS[1]), _hash(whole), whole))
-            row, no, first, deep, line, tokens = zip(*out) if out else ((),) * 6
-            longs = [pa.array(c, pa.int64()) for c in (row, no, first, deep, line)]
-            yield pa.RecordBatch.from_arrays([*longs, pa.array(tokens, pa.binary())], names=["row", "no", "leaf", "deep", "line", "tokens"])
-
-    return docs.mapInArrow(work, "row long, no long, leaf long, deep long, line long, tokens binary")
-
-
-def grow(lines: list[tuple[int, np.ndarray]]) -> dict[int, int]:
-    """Line to template (its first line) for the lines of one leaf, in order of their hash."""
-    templates: list[list] = []
-    out = {}
-    for line, tokens in sorted(lines, key=lambda x: x[0]):
-        best, most = None, SIMILARITY
-        for template in templates:
-            share = float(np.mean((template[1] == tokens) | (template[1] == 0)))
-            if share >= most and float(np.mean((template[1] == tokens) & (template[1] != 0))) >= SIMILARITY - 0.2:
-                best, most = template, share
-        if best is None:
-            templates.append([line, tokens.copy()])
-            out[line] = line
-        else:
-            best[1][best[1] != tokens] = 0
-            out[line] = best[0]
-    return out
+                    out.append((row, no, leaf(t), _hash(whole), whole))
+            row, no, at, line, tokens = zip(*out) if out else ((),) * 5
+            longs = [pa.array(c, pa.int64()) for c in (row, no, at, line)]
+            yield pa.RecordBatch.from_arrays([*longs, pa.array(tokens, pa.binary())], names=["row", "no", "leaf", "line", "tokens"])
 
+    return docs.mapInArrow(work, "row long, no long, leaf long, line long, tokens binary")
 
-def templates(lines: DataFrame) -> DataFrame:
-    """``line, template`` for distinct lines (leaf, deep, line, tokens)."""
-    sizes = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
-    total = max(1, lines.count())
-    sized = skew_join(lines, sizes, "leaf", "size", total)
-    few, many = sized.filter(F.col("size") <= LEAF_LINES), sized.filter(F.col("size") > LEAF_LINES).drop("leaf", "size")
-    deep = many.groupBy("deep").agg(F.count(F.lit(1)).alias("size"))
-    many = skew_join(many, deep, "deep", "size", total).withColumnRenamed("deep", "leaf")
-    alone = many.filter(F.col("size") > LEAF_LINES).select("line", F.col("line").alias("template"))
-    ready = few.select("leaf", "line", "tokens").unionByName(many.filter(F.col("size") <= LEAF_LINES).select("leaf", "line", "tokens"))
+
+def grow(lines: list[tuple[int, np.ndarray]]) -> tuple[dict[int, int], dict[int, np.ndarray]]:
+    """Line to template (its first line), and the templates' tokens, for the lines of one leaf.
+
+    Lines are taken in order of their hash, and so are templates until no two of
+    them can be merged. Lines may be templates; a field agrees with any token.
+    """
+    items = sorted(lines, key=lambda x: x[0])
+    up = {line: line for line, _ in items}
+    while len(items) > 1:
+        names, kept = [], np.empty((len(items), len(items[0][1])), np.int64)
+        for line, tokens in items:
+            old = kept[: len(names)]
+            equal, fixed = old == tokens, (old != 0) & (tokens != 0)
+            share = np.mean(equal | ~fixed, axis=1)
+            share[np.mean(equal & fixed, axis=1) < SIMILARITY - 0.2] = 0
+            best = int(np.argmax(share)) if names else 0
+            if names and share[best] >= SIMILARITY:
+                kept[best][kept[best] != tokens] = 0
+                up[line] = names[best]
+            else:
+                kept[len(names)] = tokens
+                names.append(line)
+        merged = len(names) < len(items)
+        items = list(zip(names, kept))
+        if not merged:
+            break
+    for line in sorted(up):  # templates come before their lines
+        up[line] = up[up[line]]
+    return up, dict(items)
+
+
+def _grown(items: DataFrame, raw: bool) -> DataFrame:
+    """``leaf, block, blocks, line, template, tokens`` for items (leaf, group, block, blocks, line, tokens).
+
+    The items of one group of a leaf meet. Tokens are hashes (bytes of lines if
+    ``raw``); of the result, only templates of leaves of many blocks have them.
+    """
 
     def work(table: pa.Table) -> pa.Table:
-        leaves: dict[int, list] = {}
+        groups: dict[tuple, list] = {}
         field = FIELD.encode()
-        for at, line, tokens in zip(*(table.column(c).to_pylist() for c in ("leaf", "line", "tokens"))):
-            hashes = [_hash(t) if t != field else 0 for t in tokens.split(b"\0")]
-            leaves.setdefault(at, []).append((line, np.array(hashes, np.int64)))
-        found = {k: v for group in leaves.values() for k, v in grow(group).items()}
-        return pa.table({"line": pa.array(list(found), pa.int64()), "template": pa.array(list(found.values()), pa.int64())})
+        for at, group, block, blocks, line, tokens in zip(*(table.column(c).to_pylist() for c in ("leaf", "group", "block", "blocks", "line", "tokens"))):
+            hashes = np.array([_hash(t) if t != field else 0 for t in tokens.split(b"\0")], np.int64) if raw else np.frombuffer(tokens, np.int64)
+            groups.setdefault((at, group), []).append((line, hashes, block, blocks))
+        out = []
+        for (at, _), group in groups.items():
+            up, kept = grow([x[:2] for x in group])
+            out += [(at, block, blocks, line, up[line], kept[line].tobytes() if blocks > 1 and line in kept else None) for line, _, block, blocks in group]
+        at, block, blocks, line, template, tokens = zip(*out)
+        longs = [pa.array(c, pa.int64()) for c in (at, block, blocks, line, template)]
+        return pa.Table.from_arrays([*longs, pa.array(tokens, pa.binary())], names=["leaf", "block", "blocks", "line", "template", "tokens"])
+
+    spark = items.sparkSession
+    bins = max(partitions(spark), items.count() // LEAF_LINES)
+    binned = items.withColumn("_bin", F.pmod(F.xxhash64("leaf", "group"), F.lit(bins)))
+    return cut(binned.groupBy("_bin").applyInArrow(work, "leaf long, block long, blocks long, line long, template long, tokens binary"))
+
+
+def _blocked(items: DataFrame, seed: int, limit: int) -> DataFrame:
+    """``leaf, line, tokens`` of ``items`` with ``block`` and ``blocks``: about ``limit`` lines to each."""
+    sizes = items.groupBy("leaf").agg(F.count(F.lit(1)).alias("size"))
+    sized = skew_join(items.select("leaf", "line", "tokens"), sizes, "leaf", "size", max(1, items.count()))
+    sized = sized.withColumn("blocks", F.when(F.col("size") <= LEAF_LINES, 1).otherwise(F.ceil(F.col("size") / limit)).cast("long")).drop("size")
+    return sized.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "line"), F.col("blocks")))
+
+
+def _facing(turn: int) -> Column:
+    """The group of a block in this turn of a round robin: each turn pairs all blocks, and blocks - 1 turns all pairs."""
+    others = F.col("blocks") - 1
+    last = F.pmod(F.lit(turn) * (F.col("blocks") / 2).cast("long"), others)
+    return F.when(F.col("block") == others, last).otherwise(F.least("block", F.pmod(F.lit(turn) - F.col("block"), others)))
+
 
-    bins = max(partitions(lines.sparkSession), total // LEAF_LINES)
-    grown = ready.withColumn("_bin", F.pmod(F.xxhash64("leaf"), F.lit(bins))).groupBy("_bin").applyInArrow(work, "line long, template long")
-    return grown.unionByName(alone)
+def templates(lines: DataFrame) -> DataFrame:
+    """``line, template`` for distinct lines (leaf, line, tokens)."""
+    first = _grown(_blocked(lines, 0, LEAF_LINES).withColumn("group", F.col("block")), True)
+    large = first.filter("blocks > 1")
+    if large.isEmpty():
+        return first.select("line", "template")
+    moves, turn = [], 0
+
+    def met(items: DataFrame) -> DataFrame:
+        """The templates left of ``items`` when those of each group have met."""
+        now = _grown(items, False)
+        moves.append(now.filter("line <> template").select(F.col("line").alias("a"), F.col("template").alias("b")))
+        return now.filter("line = template").drop("template")
+
+    moves.append(large.filter("line <> template").select(F.col("line").alias("a"), F.col("template").alias("b")))
+    left, before = large.filter("line = template").drop("template"), large.count()
+    while (count := left.count()) and count <= 0.7 * before:
+        turn, before = turn + 1, count
+        left = met(_blocked(left, turn, LEAF_LINES).withColumn("group", F.col("block"))).filter("blocks > 1")
+    before = None
+    while (count := left.count()) and count != before:
+        turn, before = turn + 1, count
+        left = _blocked(left, turn, max(1, LEAF_LINES // 2))
+        left = cut(left.withColumn("blocks", F.when(F.col("blocks") > 1, F.col("blocks") + F.col("blocks") % 2).otherwise(F.lit(1)).cast("long")))
+        # a leaf that fits into one block is finished there
+        single = left.filter("blocks = 1").withColumn("group", F.lit(0).cast("long"))
+        if not single.isEmpty():
+            met(single)
+        left = left.filter("blocks > 1")
+        for k in range((left.agg(F.max("blocks")).first()[0] or 1) - 1):
+            rest = left.filter(F.col("blocks") <= k + 1)
+            left = met(left.filter(F.col("blocks") > k + 1).withColumn("group", _facing(k))).unionByName(rest.select("leaf", "block", "blocks", "line", "tokens"))
+    joined = components(union(moves))
+    found = large.select("line").join(joined, F.col("line") == F.col("node"), "left").select("line", F.coalesce("component", "line").alias("template"))
+    return first.filter("blocks = 1").select("line", "template").unionByName(found)
 
 
 def _row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -161,7 +229,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     side = leaves.select("leaf")
     side = F.broadcast(side) if leaves.count() <= BROADCAST_ROWS else side
     lines = cut(_line_rows(rows).join(side, "leaf", "left_semi"))
-    distinct = lines.groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("deep").alias("deep"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("size"))
+    distinct = lines.groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("size"))
     distinct = cut(distinct)
     named = cut(templates(distinct.drop("size")).join(distinct.select("line", "size"), "line"))
     placed = cut(skew_join(lines.select("row", "no", "line"), named, "line", "size", max(1, lines.count())).select("row", "no", "template"))

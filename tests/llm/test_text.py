@@ -174,6 +174,33 @@ def test_line_leaves_are_divided(spark, monkeypatch):
     assert line_dedup.clean_lines(df).filter("n_dropped >= 1").count() == 20
 
 
+def test_line_leaf_over_the_bound(spark, monkeypatch):
+    """Lines of one template stay together in a leaf of any size, wherever their variable word is."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bcdfgaeiou") for _ in range(7))
+    monkeypatch.setattr(line_dedup, "LEAF_LINES", 16)
+    rows = []
+    for i in range(60):
+        near = f"Contact the office {word()} for further details about this page today"
+        far = f"Contact the office for any further details {word()} this page today"
+        prose = "Contact the office " + " ".join(word() for _ in range(8))
+        rows.append((i, f"{near}\n{far}\n{prose}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in line_dedup.clean_lines(df).collect()}
+    for d, text in rows:
+        assert got[d]["n_dropped"] == 2 and got[d]["text"] == text.split("\n")[2], d
+
+
+def test_line_blocks_all_meet(spark):
+    """In the turns of a round robin, every two blocks share a group once."""
+    for blocks in (2, 4, 6, 10):
+        met = []
+        for k in range(blocks - 1):
+            rows = spark.range(blocks).select(F.col("id").alias("block"), F.lit(blocks).cast("long").alias("blocks")).withColumn("group", line_dedup._facing(k)).collect()
+            met += [(x["block"], y["block"]) for x in rows for y in rows if x["block"] < y["block"] and x["group"] == y["group"]]
+        assert sorted(met) == [(x, y) for x in range(blocks) for y in range(x + 1, blocks)]
+
+
 def test_line_dedup_empty(none):
     assert line_dedup.clean_lines(none).count() == 0
 

@@ -3,7 +3,9 @@
 A line walks a tree of fixed depth: its token count, then its leading tokens,
 where tokens with digits are fields. Lines of one leaf that agree in most
 positions share a template, whose differing positions are fields too. A template
-in enough documents is boilerplate, and its lines are dropped from all of them.
+in enough documents is boilerplate, and its lines are dropped from all of them;
+the longer its lines, the fewer documents are enough. Copies of one text count
+once towards fewer than MIN_DOCUMENTS, or two copies would lose their passages.
 
 Leaves in too few documents can't hold such a template, so only the lines of the
 others, as hashes, go on. A leaf of too many different lines is dealt to blocks
@@ -28,6 +30,8 @@ DEPTH = 3
 #: Share of positions that lines of one template agree in.
 SIMILARITY = 0.7
 MIN_DOCUMENTS = 8
+#: A line of so many tokens recurs in LONG_DOCUMENTS; between, the number falls evenly.
+LONG_TOKENS, LONG_DOCUMENTS = 50, 2
 #: Lines of fewer tokens are kept: they are no passages.
 MIN_TOKENS = 4
 #: Different lines in a leaf, beyond which it is dealt to blocks.
@@ -60,6 +64,12 @@ def leaf(tokens: list[str]) -> int:
     return _hash(b"%d\0" % len(tokens) + _joined(tokens[:DEPTH]))
 
 
+def needed(tokens: int, documents: int) -> int:
+    """Documents in which a line of so many tokens is boilerplate, where a line of MIN_TOKENS is so in ``documents``."""
+    fall = (documents - min(documents, LONG_DOCUMENTS)) * (min(tokens, LONG_TOKENS) - MIN_TOKENS)
+    return documents - fall // (LONG_TOKENS - MIN_TOKENS)
+
+
 def lines_of(text: str) -> Iterator[tuple[int, list[str]]]:
     """Number and masked tokens of the lines that are long enough."""
     for i, line in enumerate(text.split("\n")):
@@ -68,43 +78,49 @@ def lines_of(text: str) -> Iterator[tuple[int, list[str]]]:
             yield i, tokens
 
 
-def leaf_counts(docs: DataFrame) -> DataFrame:
-    """Documents by leaf, added up in each task first."""
+def leaf_counts(docs: DataFrame, documents: int) -> DataFrame:
+    """Documents by leaf, added up in each task first, and the number needed."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, int] = {}
+        needs: dict[int, int] = {}
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["leaf", "n"])
+            columns = (list(counts), list(counts.values()), [needs[at] for at in counts])
+            out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["leaf", "n", "need"])
             counts.clear()
+            needs.clear()
             return out
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                for at in {leaf(t) for _, t in lines_of(text)}:
+                for at, size in {leaf(t): len(t) for _, t in lines_of(text)}.items():
+                    if at not in counts:
+                        needs[at] = needed(size, documents)
                     counts[at] = counts.get(at, 0) + 1
             if len(counts) > CHUNK:
                 yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(work, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(work, "leaf long, n long, need long").groupBy("leaf").agg(F.sum("n").alias("n"), F.max("need").alias("need"))
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
-    """A row per long enough line: row, no, leaf, line (hash), tokens (masked)."""
+    """A row per long enough line: row, copy, no, leaf, line (hash), tokens (masked)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                copy = _hash(text.encode("utf-8", "surrogatepass"))
                 for no, t in lines_of(text):
                     whole = _joined(t)
-                    out.append((row, no, leaf(t), _hash(whole), whole))
-            row, no, at, line, tokens = zip(*out) if out else ((),) * 5
-            longs = [pa.array(c, pa.int64()) for c in (row, no, at, line)]
-            yield pa.RecordBatch.from_arrays([*longs, pa.array(tokens, pa.binary())], names=["row", "no", "leaf", "line", "tokens"])
+                    out.append((row, copy, no, leaf(t), _hash(whole), whole))
+            row, copy, no, at, line, tokens = zip(*out) if out else ((),) * 6
+            longs = [pa.array(c, pa.int64()) for c in (row, copy, no, at, line)]
+            yield pa.RecordBatch.from_arrays([*longs, pa.array(tokens, pa.binary())], names=["row", "copy", "no", "leaf", "line", "tokens"])
 
-    return docs.mapInArrow(work, "row long, no long, leaf long, line long, tokens binary")
+    return docs.mapInArrow(work, "row long, copy long, no long, leaf long, line long, tokens binary")
 
 
 def grow(lines: list[tuple[int, np.ndarray]]) -> tuple[dict[int, int], dict[int, np.ndarray]]:
@@ -225,16 +241,17 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``_row, drop``: the numbers of the recurring lines of each document that has any."""
     small_batches(docs.sparkSession)
     rows = _row_key(docs, id_col, text_col).select(F.col("_row").alias("row"), F.col("_text").alias("text"))
-    leaves = cut(leaf_counts(rows).filter(F.col("n") >= min_documents))
-    side = leaves.select("leaf")
+    leaves = cut(leaf_counts(rows, min_documents).filter("n >= need"))
+    side = leaves.select("leaf", "need")
     side = F.broadcast(side) if leaves.count() <= BROADCAST_ROWS else side
-    lines = cut(_line_rows(rows).join(side, "leaf", "left_semi"))
-    distinct = lines.groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("size"))
+    lines = cut(_line_rows(rows).join(side, "leaf"))
+    distinct = lines.groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"), F.first("need").alias("need"), F.count(F.lit(1)).alias("size"))
     distinct = cut(distinct)
-    named = cut(templates(distinct.drop("size")).join(distinct.select("line", "size"), "line"))
-    placed = cut(skew_join(lines.select("row", "no", "line"), named, "line", "size", max(1, lines.count())).select("row", "no", "template"))
-    spread = placed.select("template", "row").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"))
-    spread = cut(spread.filter(F.col("docs") >= min_documents))
+    named = cut(templates(distinct.select("leaf", "line", "tokens")).join(distinct.select("line", "size", "need"), "line"))
+    placed = cut(skew_join(lines.select("row", "copy", "no", "line"), named, "line", "size", max(1, lines.count())).select("row", "copy", "no", "template", "need"))
+    spread = placed.select("template", "copy", "row", "need").distinct().groupBy("template", "copy").agg(F.count(F.lit(1)).alias("docs"), F.first("need").alias("need"))
+    spread = spread.groupBy("template").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("texts"), F.first("need").alias("need"))
+    spread = cut(spread.filter((F.col("docs") >= F.greatest("need", F.lit(min_documents))) | (F.col("texts") >= F.col("need"))).select("template", "docs"))
     common = skew_join(placed, spread, "template", "docs", max(1, placed.count()))
     return common.groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_set(F.col("no").cast("int"))).alias("drop"))
 

@@ -201,6 +201,20 @@ def test_line_blocks_all_meet(spark):
         assert sorted(met) == [(x, y) for x in range(blocks) for y in range(x + 1, blocks)]
 
 
+def test_long_lines_need_fewer_documents(spark):
+    rng = random.Random(6)
+    line = lambda n: " ".join("".join(rng.choice("bcdfgaeiou") for _ in range(7)) for _ in range(n))
+    two, three, short, copied = line(60), line(60), line(9), f"{line(60)}\n{line(9)}"
+    rows = [(i, "\n".join([line(9), *([two] if i < 2 else []), *([three] if i < 3 else []), short, line(60)][: 5 if i < 3 else 1])) for i in range(6)]
+    rows += [(10, copied), (11, copied)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in line_dedup.clean_lines(df).collect()}
+    for d, text in rows:
+        left = [x for x in text.split("\n") if x not in (two, three)]
+        assert got[d]["text"] == "\n".join(left), d
+    assert [line_dedup.needed(n, 8) for n in (4, 9, 27, 50, 500)] == [8, 8, 5, 2, 2]
+
+
 def test_line_dedup_empty(none):
     assert line_dedup.clean_lines(none).count() == 0
 

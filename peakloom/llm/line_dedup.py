@@ -32,8 +32,8 @@ SIMILARITY = 0.7
 MIN_DOCUMENTS = 8
 #: A line of so many tokens recurs in LONG_DOCUMENTS; between, the number falls evenly.
 LONG_TOKENS, LONG_DOCUMENTS = 50, 2
-#: Lines of fewer tokens are kept: they are no passages.
-MIN_TOKENS = 4
+#: Lines of fewer tokens are no passages and recur by chance: they need SHORT_FACTOR times the documents.
+MIN_TOKENS, SHORT_FACTOR = 4, 2
 #: Different lines in a leaf, beyond which it is dealt to blocks.
 LEAF_LINES = 4096
 CHUNK = 500_000
@@ -50,9 +50,12 @@ def _hash(data: bytes) -> int:
 
 
 def masked(line: str) -> list[str]:
-    """The line's tokens, those with digits as fields."""
+    """The line's tokens, those with digits as fields; a short line of nothing else keeps them."""
     tokens = line.split()
-    return [FIELD if _DIGIT.search(t) else t for t in tokens] if _DIGIT.search(line) else tokens
+    if not _DIGIT.search(line):
+        return tokens
+    fields = [FIELD if _DIGIT.search(t) else t for t in tokens]
+    return tokens if len(tokens) < MIN_TOKENS and all(t is FIELD for t in fields) else fields
 
 
 def _joined(tokens: list[str]) -> bytes:
@@ -66,15 +69,17 @@ def leaf(tokens: list[str]) -> int:
 
 def needed(tokens: int, documents: int) -> int:
     """Documents in which a line of so many tokens is boilerplate, where a line of MIN_TOKENS is so in ``documents``."""
+    if tokens < MIN_TOKENS:
+        return SHORT_FACTOR * documents
     fall = (documents - min(documents, LONG_DOCUMENTS)) * (min(tokens, LONG_TOKENS) - MIN_TOKENS)
     return documents - fall // (LONG_TOKENS - MIN_TOKENS)
 
 
 def lines_of(text: str) -> Iterator[tuple[int, list[str]]]:
-    """Number and masked tokens of the lines that are long enough."""
+    """Number and masked tokens of the lines that have any."""
     for i, line in enumerate(text.split("\n")):
         tokens = masked(line)
-        if len(tokens) >= MIN_TOKENS:
+        if tokens:
             yield i, tokens
 
 
@@ -106,7 +111,7 @@ def leaf_counts(docs: DataFrame, documents: int) -> DataFrame:
 
 
 def _line_rows(docs: DataFrame) -> DataFrame:
-    """A row per long enough line: row, copy, no, leaf, line (hash), tokens (masked)."""
+    """A row per line that isn't blank: row, copy, no, leaf, line (hash), tokens (masked)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

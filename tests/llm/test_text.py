@@ -215,6 +215,16 @@ def test_long_lines_need_fewer_documents(spark):
     assert [line_dedup.needed(n, 8) for n in (4, 9, 27, 50, 500)] == [8, 8, 5, 2, 2]
 
 
+def test_short_lines_need_more_documents(spark):
+    """Lines under four tokens recur in 16 documents, and numbers alone only as they are."""
+    rows = [(i, f"All rights reserved.\nPage {i}\n{1000 + i}\n77\n\n" + ("Read more\n" if i < 15 else "") + f"own{chr(97 + i)} text") for i in range(16)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in line_dedup.clean_lines(df).collect()}
+    for d, text in rows:
+        left = [x for x in text.split("\n") if x not in ("All rights reserved.", "77", f"Page {d}")]
+        assert got[d]["text"] == "\n".join(left), d
+
+
 def test_line_dedup_empty(none):
     assert line_dedup.clean_lines(none).count() == 0
 

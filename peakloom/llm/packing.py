@@ -3,9 +3,11 @@
 Every document becomes pieces of at most ``length`` tokens. Pieces that fill a
 sequence stand alone. The others are packed by best-fit decreasing inside each
 partition; nearly full bins are emitted, and underfull bins become the items of
-the next round, in fewer partitions, until one partition holds all that is left
-or a round saves no bins. A round's task holds at most ITEMS_PER_TASK items on
-average, whatever the size of the input.
+the next round, in fewer partitions, until one partition holds all that is left,
+or the partitions can't be fewer and a round saves no bins. Of two bins
+that fit together one is half full or less, and a partition leaves at most one
+such, so all of them meet in one partition. A round's task holds at most ITEMS_PER_TASK items on
+average, whatever the size of the input; that one also a bin of each partition.
 """
 
 from __future__ import annotations
@@ -101,7 +103,10 @@ def _pack_round(items: DataFrame, capacity: int, seed: int, parts: int) -> DataF
                 names=["size", "members", "sizes"],
             )
 
-    dealt = items.withColumn("first", F.col("members")[0]).withColumn("_part", F.pmod(F.xxhash64(F.lit(seed), "first"), F.lit(parts)))
+    part = F.pmod(F.xxhash64(F.lit(seed), "first"), F.lit(parts))
+    if seed:  # bins of the round before
+        part = F.when(2 * F.col("size") <= capacity, F.lit(0).cast("long")).otherwise(part)
+    dealt = items.withColumn("first", F.col("members")[0]).withColumn("_part", part)
     return dealt.repartition(parts, "_part").select("size", "members", "sizes", "first").mapInArrow(pack, _BINS)
 
 
@@ -121,12 +126,12 @@ def pack(cut_pieces: DataFrame, length: int = SEQUENCE) -> DataFrame:
         bins = cut(_pack_round(items, length, turn, parts))
         left = bins.filter(F.col("size") < length - length // NEARLY_FULL)
         now = left.count()
-        last = parts == 1 or now > 0.98 * count
+        fewer = max(-(-parts // FAN_IN), -(-now // ITEMS_PER_TASK))
+        last = parts == 1 or (now == count and fewer == parts)
         done.append(bins if last else bins.filter(F.col("size") >= length - length // NEARLY_FULL))
         if last:
             break
-        items, count, turn = left, now, turn + 1
-        parts = max(-(-parts // FAN_IN), -(-count // ITEMS_PER_TASK))
+        items, count, turn, parts = left, now, turn + 1, fewer
     if not done:
         return full.drop("_row")
     placed = (

@@ -61,6 +61,14 @@ def test_packing_in_rounds(docs, rows, monkeypatch):
     assert n <= -(-tokens // 256) * 1.1 + 2  # a dozen items to a task leave more room than the thousands of real runs
 
 
+def test_packing_goes_on_while_bins_fit(spark, monkeypatch):
+    """Small bins of many partitions come together, however few they are."""
+    monkeypatch.setattr(packing, "ITEMS_PER_TASK", 40)
+    rows = [(i, 0, 0, 12 if i % 51 == 0 else 90, 0) for i in range(408)]
+    got = packing.pack(spark.createDataFrame(rows, packing._PIECES), length=100).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(408)) and len({r["sequence_id"] for r in got}) == 401
+
+
 def test_packing_edges(spark, none):
     assert packing.pack(packing.pieces(none, vocabulary("byte_bpe_50k.json"))).count() == 0
     twice = spark.createDataFrame([(1, None), (1, None), (None, "")], "doc_id long, text string")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import cut, small_batches, union
-from .tokens import encoder
+from .tokens import encoder, gathered, with_end
 
 SEQUENCE = 1024
 #: A bin with fewer free tokens than this part of a sequence is emitted.
@@ -42,18 +42,19 @@ def pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     small_batches(docs.sparkSession)
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary).encode, np.uint32(end_id).astype("<u4").tobytes()
-        for batch in batches:
+        encode = encoder(vocabulary).encode_batch
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        for batch in gathered(batches, "text"):
+            ids, bounds = with_end(*encode(batch.column("text").chunk(0)), end_id)
+            raw = memoryview(ids.tobytes())
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text) + end
-                n, at, k = len(ids) // 4, 0, 0
+            for doc, low, high in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                n, at, k = high - low, 0, 0
                 while at < n:
                     to = at + ((n - at) % length or length)
-                    rows.append((doc, k, at, to - at, zlib.crc32(ids[4 * at : 4 * to])))
+                    rows.append((doc, k, at, to - at, zlib.crc32(raw[4 * (low + at) : 4 * (low + to)])))
                     at, k = to, k + 1
             columns = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut_up, _PIECES)

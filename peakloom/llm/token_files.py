@@ -15,27 +15,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import partitions, shared_dir, small_batches
-from .tokens import encoder
+from .common import cut, partitions, shared_dir, small_batches
+from .tokens import encoder, gathered, in_lists, with_end
 
 END_ID = 2
+#: Bytes of a stripe before compression, and rows between entries of its index.
+STRIPE, STRIDE = 16 << 20, 1000
 ORC = {
     "orc.compress": "ZLIB",
-    "orc.stripe.size": str(16 << 20),
-    "orc.row.index.stride": "10000",
+    "orc.stripe.size": str(STRIPE),
+    "orc.row.index.stride": str(STRIDE),
     "orc.create.index": "true",
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
 
 
-def _ids(raw: list[bytes]) -> pa.ListArray:
-    """Documents' id bytes as one list array without a Python object for each id."""
-    offsets = np.zeros(len(raw) + 1, np.int32)
-    np.cumsum([len(r) // 4 for r in raw], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
-
-
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> None:
     """Write ``doc_id, n_tokens, ids`` as ORC under ``path`` in ascending doc_id order.
 
@@ -46,11 +41,13 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc
     small_batches(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = encoder(vocabulary).encode, np.uint32(end_id).astype("<u4").tobytes()
-        for batch in batches:
-            raw = [ids_of(t) + end for t in batch.column(1).to_pylist()]
-            counts = pa.array([len(r) // 4 for r in raw], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), counts, _ids(raw)], names=["doc_id", "n_tokens", "ids"])
+        encode = encoder(vocabulary).encode_batch
+        for batch in gathered(batches, "text"):
+            ids, bounds = with_end(*encode(batch.column("text").chunk(0)), end_id)
+            docs = batch.column("doc_id").chunk(0)
+            for own, lists in in_lists(ids, bounds):
+                counts = pa.array(np.diff(bounds[own.start : own.stop + 1]).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([docs[own], counts, lists], names=["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(2 * partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
@@ -88,8 +85,6 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     rows = found.select("doc_id", "ids", "file", "at").mapInArrow(
         digest, "doc_id long, n_tokens long, ids_crc32 long, file int, at struct<block: long, row: long>"
     )
-    from .common import cut
-
     rows = cut(rows)
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("_n"))
     before = files.select("file", (F.sum("_n").over(Window.orderBy("file")) - F.col("_n")).alias("_before"))

@@ -1,12 +1,15 @@
 from __future__ import annotations
 
+import json
+import os
 import random
 
 import numpy as np
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
-from peakloom.llm import packing, token_files
+from peakloom.llm import packing, token_files, tokens
 from peakloom.llm.queries import vocabulary
 from peakloom.llm.tokens import Encoder
 
@@ -19,8 +22,40 @@ def test_encoder_equals_library(name):
     signs = [*"ab  \n\t.,!'sé1\x1c　́İſ<|>", " ", "'re ", "<|endoftext|>", "Σ ", "word ", "Word. ", "😀"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
     plain, own = brute.tokenizer(name), Encoder(vocabulary(name))
-    for text, want in zip(texts, plain.encode_batch(texts, add_special_tokens=False)):
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == want.ids, repr(text)
+    assert own.pattern is not None
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    for size in (4000, 7):
+        for at in range(0, len(texts), size):
+            ids, ends = own.encode_batch(texts[at : at + size])
+            for k, text in enumerate(texts[at : at + size]):
+                assert ids[ends[k] : ends[k + 1]].tolist() == want[at + k], repr(text)
+
+
+def test_encoder_leaves_other_vocabularies_to_the_library(tmp_path):
+    """Where the file's way of splitting isn't known, whole texts go to the library."""
+    made = json.loads(open(vocabulary("byte_bpe_50k.json"), encoding="utf-8").read())
+    made["pre_tokenizer"]["use_regex"] = False
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(made))
+    own, plain, texts = Encoder(str(path)), tokenizers.Tokenizer.from_file(str(path)), ["one two", "", "a  b's", None]
+    assert own.pattern is None
+    ids, ends = own.encode_batch(texts)
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [plain.encode(t or "").ids for t in texts]
+
+
+def test_encoder_forgets(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_PARTS", 3)
+    own = Encoder(vocabulary("word_bpe_49k.json"))
+    first = own.encode_batch(["one two three four five"])[0].tolist()
+    assert own.encode_batch(["one two three four five"])[0].tolist() == first and len(own.ends) == 6
+
+
+def test_lists_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "BATCH_IDS", 4)
+    ids, ends = np.arange(14, dtype=np.uint32), np.array([0, 1, 3, 4, 10, 10, 13, 14])
+    parts = tokens.in_lists(ids, ends)
+    assert [x for _, lists in parts for x in lists.to_pylist()] == [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+    assert [(s.start, s.stop) for s, _ in parts] == [(0, 3), (3, 4), (4, 7)]
 
 
 def check_packed(rows, got, length):
@@ -104,3 +139,27 @@ def test_token_files_edges(spark, none, tmp_path):
     token_files.write_tokens(odd, str(tmp_path / "odd"), vocabulary("word_bpe_49k.json"))
     got = token_files.token_index(spark, str(tmp_path / "odd")).orderBy("start").collect()
     assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in got] == [(None, 0, 1), (2, 1, 2), (2, 3, 2)]
+
+
+def test_token_files_skip_rows(spark, tmp_path):
+    """The files have stripes, an index entry for every STRIDE rows, and Bloom filters; a reader of one document skips the rest."""
+    path = str(tmp_path / "many")
+    rows = spark.range(0, 60_000, 2, 8).select(F.col("id").alias("doc_id"), F.concat_ws(" ", "id", F.lit("some words")).alias("text"))
+    token_files.write_tokens(rows, path, vocabulary("word_bpe_49k.json"))
+    files = sorted(f for f in os.listdir(path) if f.endswith(".orc"))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    orc = jvm.org.apache.orc.OrcFile
+    for f in files:
+        reader = orc.createReader(jvm.org.apache.hadoop.fs.Path(f"{path}/{f}"), orc.readerOptions(conf))
+        assert reader.getRowIndexStride() == token_files.STRIDE
+        stripes = reader.getStripes()
+        rows_of, picked = reader.rows(), spark.sparkContext._gateway.new_array(jvm.boolean, 4)
+        picked[0] = picked[1] = True
+        kinds = {str(s.getKind()) for s in rows_of.readStripeFooter(stripes.get(0)).getStreamsList()}
+        assert any(k.startswith("BLOOM_FILTER") for k in kinds) and "ROW_INDEX" in kinds
+        first, last = stripes.get(0), stripes.get(stripes.size() - 1)
+        assert first.getIndexLength() > 0 and last.getNumberOfRows() > 0
+    one = token_files.read_tokens(spark, path).filter("doc_id = 30000")
+    assert one.count() == 1 and one.first()["n_tokens"] > 3
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,30000)]" in one._jdf.queryExecution().toString()
+    assert token_files.read_tokens(spark, path).filter("doc_id = 30001").count() == 0

@@ -51,6 +51,14 @@ def text_of(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def fresh_name(df: DataFrame, name: str = "_own") -> str:
+    """``name``, lengthened until ``df`` has no column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -66,9 +67,9 @@ def test_ngram_join(docs, expected):
     assert len({c for _, c in expected.values()}) < len(expected) - 20
 
 
-@pytest.mark.parametrize(("block", "crowded", "combined", "chunk"), [(2, 64, 4096, 2_000_000), (3, 2, 4096, 500), (2, 1, 2, 2_000_000)])
-def test_ngram_join_in_blocks(docs, expected, monkeypatch, block, crowded, combined, chunk):
-    for name, value in (("BLOCK", block), ("CROWDED", crowded), ("COMBINED", combined), ("CHUNK", chunk), ("BROADCAST_ROWS", 0)):
+@pytest.mark.parametrize(("block", "crowded", "combined", "chunk", "bucket"), [(2, 64, 4096, 2_000_000, 1000), (3, 2, 4096, 500, 1_000_000), (2, 1, 2, 2_000_000, 50)])
+def test_ngram_join_in_blocks(docs, expected, monkeypatch, block, crowded, combined, chunk, bucket):
+    for name, value in (("BLOCK", block), ("CROWDED", crowded), ("COMBINED", combined), ("CHUNK", chunk), ("BUCKET", bucket), ("BROADCAST_ROWS", 0)):
         monkeypatch.setattr(ngram_join, name, value)
     assert as_map(ngram_join.near_duplicates(docs)) == expected
 
@@ -86,12 +87,30 @@ def test_drop_near_duplicates(docs, expected):
     assert {r["doc_id"] for r in left.collect()} == {c for _, c in expected.values()}
 
 
-def test_signatures_bound_the_difference():
-    rng = np.random.default_rng(2)
-    for _ in range(300):
-        one = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 300)).astype(np.uint64))
-        other = np.unique(np.r_[one[rng.random(len(one)) < rng.random()], rng.integers(0, 1 << 63, rng.integers(1, 400)).astype(np.uint64)])
-        assert ngram_join.least_difference(ngram_join.signature(one), ngram_join.signature(other)) <= len(np.setxor1d(one, other))
+def test_ngram_join_of_loose_groups(spark, monkeypatch):
+    """Texts of a few common passages: groups of many blocks and components, with links near the bound."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "CROWDED", 3)
+    rng = random.Random(11)
+    passages = [" ".join(f"p{k}w{i}" for i in range(rng.randint(8, 30))) for k in range(7)]
+    rows = [(i, " ".join(rng.sample(passages, rng.randint(2, 5)) + [f"own{i}"] * rng.randint(0, 1))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sets = {d: brute.shingle_set(t) for d, t in rows}
+    want = brute.components(sets)
+    assert len(set(want.values())) > 20
+    assert as_map(ngram_join.near_duplicates(df)) == {d: (len(sets[d]), c) for d, c in want.items()}
+
+
+def test_one_shingle_of_very_many_texts(spark, monkeypatch):
+    """Unrelated texts that share one passage are settled before any pair is made."""
+    rng = random.Random(12)
+    passage = "one two three four five six"
+    rows = [(i, passage + " " + " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40))) for i in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    described = ngram_join.describe(df, "doc_id", "text", 8).cache()
+    assert ngram_join.open_sets(described).count() < 50
+    got = ngram_join.near_duplicates(df).collect()
+    assert len(got) == 5000 and all(r["component_id"] == r["doc_id"] and r["n_shingles"] == 42 for r in got)
 
 
 def test_tree_finds_every_link():
@@ -102,16 +121,18 @@ def test_tree_finds_every_link():
         for _ in range(25):
             own = set(rng.choice(base, rng.integers(20, 40), replace=False)) | set(rng.choice(400, rng.integers(0, 12)))
             sets.append(np.array(sorted(own), np.uint64))
-        plain = brute.components({i: set(s.tolist()) for i, s in enumerate(sets)})
         for probing in (range(25), range(9)):
             inside = set(probing)
             both = len(inside) == 25
-            links = spanning_links(sets, list(range(25)), [both or i not in inside for i in range(25)], [i in inside for i in range(25)])
+            extra = rng.integers(0, 3, 25)  # elements of one set alone need not be stored
+            sizes = [len(s) + int(k) for s, k in zip(sets, extra)]
+            plain = brute.components({i: set(s.tolist()) | {(i, k) for k in range(extra[i])} for i, s in enumerate(sets)})
+            links = spanning_links(sets, sizes, list(range(25)), [both or i not in inside for i in range(25)], [i in inside for i in range(25)])
             if both:
                 assert brute.components({i: {i} for i in range(25)}) and _joined(links) == plain
             for i, j in links:
                 a, b = set(sets[i].tolist()), set(sets[j].tolist())
-                assert 100 * len(a & b) >= 75 * len(a | b)
+                assert 100 * len(a & b) >= 75 * (sizes[i] + sizes[j] - len(a & b))
 
 
 def _joined(links):

@@ -1,24 +1,29 @@
 """Exact dedup: two Bloom passes pick the possibly repeated hashes, which alone shuffle.
 
 Pass 1 counts the rows on every cell of a one-hash Bloom filter, combined on the
-map side; cells hit twice set a bit. Rows on a set bit go through pass 2, the
-same over another hash and the far fewer survivors. Rows that either pass clears
-are certainly unique and pass straight through; the others are grouped by
+map side; cells hit twice set a bit. (One number crosses the shuffle for a row.
+Bitmaps made in each task would be smaller for few tasks only: tasks times filter,
+which grows with the square of the input.) Rows on a set bit go through pass 2,
+the same over another hash and the far fewer survivors. Rows that either pass
+clears are certainly unique and pass straight through; the others are grouped by
 SHA-256. The filter is a table of 4 KiB bitmaps keyed by bucket, so it can be
 broadcast where its size, known before it is built, allows, and joined by bucket
-beyond that. Everything is DataFrame code.
+beyond that. All this is done on slim rows of id and hash, never on texts.
+Everything is DataFrame code.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, skew_join, text_of
+from .common import cut, fresh_name, skew_join, text_of
 
 #: Bits in one bitmap of ``bitmap_construct_agg``.
 BUCKET_BITS = 32768
 BITS_PER_ROW = 16
 MAX_BROADCAST_BYTES = 32 << 20
+#: Rows of a checked broadcast of the rows to drop, about 100 bytes each.
+BROADCAST_ROWS = 300_000
 
 
 def _cell(sha: str, seed: int, bits: int) -> Column:
@@ -53,8 +58,8 @@ def split_by_filter(rows: DataFrame, bitmaps: DataFrame, seed: int, bits: int, s
     )
 
 
-def _digest(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn("_sha", F.sha2(text_of(text).cast("binary"), 256))
+def _sha(text: str) -> Column:
+    return F.unhex(F.sha2(text_of(text).cast("binary"), 256))
 
 
 def _filters(slim: DataFrame) -> list[tuple[DataFrame, int, int]]:
@@ -73,6 +78,18 @@ def _marked(rows: DataFrame, filters: list[tuple[DataFrame, int, int]]) -> DataF
     return split_by_filter(rows, f2, s2, b2).withColumn("_maybe", F.col("_first") & F.col("_maybe")).drop("_first")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (_id, _sha, _row) that are certainly unique, and the others with their group's _keep and _size."""
+    slim = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    slim = cut(slim.select("_id", _sha("_text").alias("_sha"), F.monotonically_increasing_id().alias("_row")))
+    marked = _marked(slim, _filters(slim))
+    maybe = cut(marked.filter("_maybe").select("_id", "_sha", "_row"))
+    groups = cut(
+        maybe.groupBy("_sha").agg(F.max(F.struct("_id", "_row")).alias("_keep"), F.count(F.lit(1)).alias("_size"))
+    )
+    return marked.filter(~F.col("_maybe")), skew_join(maybe, groups, "_sha", "_size", maybe.count())
+
+
 def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for every document: which of its equal texts stays.
 
@@ -81,35 +98,40 @@ def duplicate_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     others, and rows that share both id and text keep one of them. An empty
     table gives no rows; other columns are ignored, whatever their names.
     """
-    slim = cut(_digest(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text").select("_id", "_sha", F.monotonically_increasing_id().alias("_row")))
-    marked = _marked(slim, _filters(slim))
-    maybe = cut(marked.filter("_maybe").select("_id", "_sha", "_row"))
-    groups = cut(
-        maybe.groupBy("_sha").agg(F.max(F.struct("_id", "_row")).alias("_keep"), F.count(F.lit(1)).alias("_size"))
-    )
-    grouped = skew_join(maybe, groups, "_sha", "_size", maybe.count()).select(
+    unique, others = _grouped(docs, id_col, text_col)
+    sha = F.lower(F.hex("_sha")).alias("text_sha256")
+    grouped = others.select(
         F.col("_id").alias(id_col), F.col("_keep._id").alias("keep_id"), F.col("_size").alias("group_size"),
-        (F.col("_row") == F.col("_keep._row")).alias("kept"), F.col("_sha").alias("text_sha256"),
+        (F.col("_row") == F.col("_keep._row")).alias("kept"), sha,
     )
-    alone = marked.filter(~F.col("_maybe")).select(
+    alone = unique.select(
         F.col("_id").alias(id_col), F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"), F.col("_sha").alias("text_sha256"),
+        F.lit(True).alias("kept"), sha,
     )
     return alone.unionByName(grouped)
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that :func:`duplicate_report` keeps, with all their columns.
+    """The documents that :func:`duplicate_report` keeps, with all their columns, whatever their names.
 
-    Rows cleared by the filters are not shuffled. The others meet the kept id of
-    their text on (text, id), which spreads even one huge group of copies.
+    The ids and hashes of the rows that go are broadcast to the documents, which
+    are not shuffled; if they are more than BROADCAST_ROWS, both sides are
+    shuffled once, by hash and id, which spreads even one huge group of copies.
+    Of rows that share the kept id and the text, which alone are compared as
+    whole rows, one stays.
     """
-    columns = docs.columns
-    slim = cut(_digest(docs.select(F.col(text_col).alias("_text")), "_text").select("_sha"))
-    marked = _marked(_digest(docs, text_col), _filters(slim))
-    maybe = marked.filter("_maybe").withColumn("_id", F.col(f"`{id_col}`"))
-    keep = maybe.groupBy("_sha").agg(F.max("_id").alias("_keep"))
-    same = (maybe["_sha"] == keep["_sha"]) & maybe["_id"].eqNullSafe(keep["_keep"])
-    kept = maybe.join(keep.hint("shuffle_merge"), same, "left_semi").dropDuplicates(["_sha", "_id"])
-    quoted = [f"`{c}`" for c in columns]
-    return marked.filter(~F.col("_maybe")).select(quoted).unionByName(kept.select(quoted))
+    same = F.col("_id").eqNullSafe(F.col("_keep._id"))
+    _, others = _grouped(docs, id_col, text_col)
+    gone = cut(others.filter(F.col("_row") != F.col("_keep._row")).select("_sha", "_id", same.alias("_same")).distinct())
+    count, twins = gone.agg(F.count(F.lit(1)), F.count(F.when(F.col("_same"), 1))).first()
+    sha = fresh_name(docs, "_sha")
+    that, id_, same = fresh_name(docs, "_that"), fresh_name(docs, "_id"), fresh_name(docs, "_same")
+    marks = gone.toDF(that, id_, same)
+    marks = F.broadcast(marks) if count <= BROADCAST_ROWS else marks
+    met = (F.col(sha) == F.col(that)) & F.col(f"`{id_col}`").eqNullSafe(F.col(id_))
+    marked = docs.withColumn(sha, _sha(f"`{text_col}`")).join(marks, met, "left")
+    quoted = [f"`{c}`" for c in docs.columns]
+    out = marked.filter(F.col(same).isNull()).select(quoted)
+    if twins:
+        out = out.unionByName(marked.filter(F.col(same)).dropDuplicates([sha, id_col]).select(quoted))
+    return out

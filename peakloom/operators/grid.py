@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 CELL = ("frame", "scan")
+#: Bits of an integer key inside one block of a running sum.
+BLOCK_BITS = 12
 
 
 def count_cells(df: DataFrame, keys: tuple[str, ...] = CELL) -> DataFrame:
@@ -73,6 +76,23 @@ def count_of_counts(df: DataFrame, inner: tuple[str, ...] = CELL, outer: str = "
     return cells.groupBy("cells_per_tof").agg(F.count(F.lit(1)).alias("n"))
 
 
+def running(groups: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``groups``, one row a key, with the exclusive running sum ``name`` of ``value`` in key order.
+
+    Integer keys are summed in blocks of 2^BLOCK_BITS values first, so that only
+    the blocks' totals meet in one task. Other keys meet there themselves. Nulls come first.
+    """
+    value_of, by = F.col(value), Window.orderBy(key)
+    if not isinstance(groups.schema[key].dataType, IntegralType):
+        return groups.withColumn(name, F.sum(value).over(by) - value_of)
+    blocked = groups.withColumn("_block", F.shiftright(F.col(key).cast("long"), BLOCK_BITS))
+    totals = blocked.groupBy("_block").agg(F.sum(value).alias("_whole"))
+    before = totals.select(F.col("_block").alias("_of"), (F.sum("_whole").over(Window.orderBy("_block")) - F.col("_whole")).alias("_begin"))
+    inside = F.sum(value).over(Window.partitionBy("_block").orderBy(key)) - value_of
+    joined = blocked.withColumn("_inside", inside).join(before, F.col("_block").eqNullSafe(F.col("_of")))
+    return joined.withColumn(name, F.col("_begin") + F.col("_inside")).drop("_block", "_of", "_begin", "_inside")
+
+
 def with_starts(cells: DataFrame, first: str = "frame", rest: tuple[str, ...] = ("scan",)) -> DataFrame:
     """Exclusive prefix sum ``start`` of ``n`` in (first, rest) order.
 
@@ -80,7 +100,7 @@ def with_starts(cells: DataFrame, first: str = "frame", rest: tuple[str, ...] =
     inside each value; no window spans all rows.
     """
     totals = cells.groupBy(first).agg(F.sum("n").alias("_total"))
-    before = totals.select(first, (F.sum("_total").over(Window.orderBy(first)) - F.col("_total")).alias("_before"))
+    before = running(totals, first, "_total", "_before").drop("_total")
     inside = F.sum("n").over(Window.partitionBy(first).orderBy(*rest)) - F.col("n") if rest else F.lit(0)
     return cells.join(before, first).withColumn("start", F.col("_before") + inside).drop("_before")
 
@@ -97,9 +117,9 @@ def cell_cumsum(df: DataFrame) -> DataFrame:
 
 def group_offsets(df: DataFrame, key: str = "frame") -> DataFrame:
     """``i, start``: group offsets in key order, with a leading 0; empty in, one row (0, 0) out."""
-    groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.orderBy(key)
-    ends = groups.select(F.row_number().over(order).cast("long").alias("i"), F.sum("_n").over(order).alias("start"))
+    groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1).cast("long"))
+    ends = running(running(groups, key, "_n", "_start"), key, "_one", "_i")
+    ends = ends.select((F.col("_i") + 1).alias("i"), (F.col("_start") + F.col("_n")).alias("start"))
     return df.sparkSession.createDataFrame([(0, 0)], "i long, start long").unionByName(ends)
 
 
@@ -128,5 +148,5 @@ def repeat_rows(cells: DataFrame, count: str = "n") -> DataFrame:
 
 def dense_labels(df: DataFrame, column: str, label: str) -> DataFrame:
     """``column, label``: distinct values numbered from 0 in order."""
-    values = df.select(column).distinct()
-    return values.select(column, (F.row_number().over(Window.orderBy(column)) - 1).cast("int").alias(label))
+    values = df.select(column).distinct().withColumn("_one", F.lit(1).cast("long"))
+    return running(values, column, "_one", "_before").select(column, F.col("_before").cast("int").alias(label))

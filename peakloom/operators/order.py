@@ -32,6 +32,15 @@ def sort_rows(df: DataFrame, keys: tuple[str, ...], partition_by: tuple[str, ...
     return df.repartition(*partition_by).sortWithinPartitions(*keys) if partition_by else df.orderBy(*keys)
 
 
+def take(df: DataFrame, order: DataFrame, pos: str = "pos", at: str = "i") -> DataFrame:
+    """The rows of ``df``, numbered by ``pos``, in the places that ``order`` (``at``, ``pos``) gives.
+
+    A gather by a stored order: place ``at`` gets row ``pos``. A row may be taken
+    often, or not at all; an order that names a missing row has no row there.
+    """
+    return order.select(at, pos).join(df, pos)
+
+
 def grouped_rank(df: DataFrame, group: str, keys: tuple[str, ...], ties: tuple[str, ...]) -> DataFrame:
     """``rank``: 0-based position inside the group."""
     order = Window.partitionBy(group).orderBy(*keys, *ties)

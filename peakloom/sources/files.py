@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.grid import cell_index
+
 #: Frames in one folder of a stored dataset.
 FRAMES_PER_FOLDER = 64
 
@@ -30,6 +32,12 @@ def read_peaks(spark: SparkSession, path: str, frames: tuple[int, int] | None =
     return df.drop("frame_bucket")
 
 
+def read_indexed(spark: SparkSession, path: str, frames: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """A stored dataset and its index of cells (frame, scan, n, start), counted anew."""
+    rows = read_peaks(spark, path, frames)
+    return rows, cell_index(rows)
+
+
 def write_npz(df: DataFrame, path: str, max_rows: int = 10_000_000, compress: bool = True) -> None:
     """Export columns to one archive on the driver; larger datasets raise ValueError."""
     import numpy as np

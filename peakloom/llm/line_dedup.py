@@ -17,14 +17,15 @@ every block meeting every other.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 from xxhash import xxh3_64_intdigest
 
-from .common import components, cut, partitions, skew_join, small_batches, text_of, union
+from .common import components, cut, fresh_name, partitions, skew_join, small_batches, text_of, union
 
 DEPTH = 3
 #: Share of positions that lines of one template agree in.
@@ -35,10 +36,12 @@ LONG_TOKENS, LONG_DOCUMENTS = 50, 2
 #: Lines of fewer tokens are no passages and recur by chance: they need SHORT_FACTOR times the documents.
 MIN_TOKENS, SHORT_FACTOR = 4, 2
 #: Different lines in a leaf, beyond which it is dealt to blocks.
-LEAF_LINES = 4096
+LEAF_LINES = 1024
 CHUNK = 500_000
 #: Rows of a checked broadcast of leaves; beyond it they are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Hashes of recurring lines, 8 bytes each, that are sent to all tasks.
+BROADCAST_LINES = 2_000_000
 
 FIELD = "<*>"
 _DIGIT = re.compile(r"\d")
@@ -238,14 +241,14 @@ def templates(lines: DataFrame) -> DataFrame:
     return first.filter("blocks = 1").select("line", "template").unionByName(found)
 
 
-def _row_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.withColumn("_text", text_of(text_col)).withColumn("_row", F.xxhash64(F.col(f"`{id_col}`"), "_text"))
+def _row_key(docs: DataFrame, id_col: str, text_col: str, seed: int = 0) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), text_of(f"`{text_col}`"))
 
 
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
-    """``_row, drop``: the numbers of the recurring lines of each document that has any."""
+def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """``line``: the hashes of the different lines, masked, that are boilerplate."""
     small_batches(docs.sparkSession)
-    rows = _row_key(docs, id_col, text_col).select(F.col("_row").alias("row"), F.col("_text").alias("text"))
+    rows = docs.select(_row_key(docs, id_col, text_col).alias("row"), text_of(f"`{text_col}`").alias("text"))
     leaves = cut(leaf_counts(rows, min_documents).filter("n >= need"))
     side = leaves.select("leaf", "need")
     side = F.broadcast(side) if leaves.count() <= BROADCAST_ROWS else side
@@ -253,28 +256,71 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = lines.groupBy("line").agg(F.first("leaf").alias("leaf"), F.first("tokens").alias("tokens"), F.first("need").alias("need"), F.count(F.lit(1)).alias("size"))
     distinct = cut(distinct)
     named = cut(templates(distinct.select("leaf", "line", "tokens")).join(distinct.select("line", "size", "need"), "line"))
-    placed = cut(skew_join(lines.select("row", "copy", "no", "line"), named, "line", "size", max(1, lines.count())).select("row", "copy", "no", "template", "need"))
-    spread = placed.select("template", "copy", "row", "need").distinct().groupBy("template", "copy").agg(F.count(F.lit(1)).alias("docs"), F.first("need").alias("need"))
+    placed = skew_join(lines.select("row", "copy", "line"), named, "line", "size", max(1, lines.count())).select("row", "copy", "template", "need")
+    spread = placed.distinct().groupBy("template", "copy").agg(F.count(F.lit(1)).alias("docs"), F.first("need").alias("need"))
     spread = spread.groupBy("template").agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("texts"), F.first("need").alias("need"))
-    spread = cut(spread.filter((F.col("docs") >= F.greatest("need", F.lit(min_documents))) | (F.col("texts") >= F.col("need"))).select("template", "docs"))
-    common = skew_join(placed, spread, "template", "docs", max(1, placed.count()))
-    return common.groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_set(F.col("no").cast("int"))).alias("drop"))
+    common = spread.filter((F.col("docs") >= F.greatest("need", F.lit(min_documents))) | (F.col("texts") >= F.col("need")))
+    sizes = named.groupBy("template").agg(F.count(F.lit(1)).alias("variants"))
+    common = cut(common.select("template").join(sizes, "template"))
+    return cut(skew_join(named.select("line", "template"), common, "template", "variants", max(1, named.count())).select("line"))
 
 
 def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``docs`` without their recurring lines, and the columns ``n_lines`` and ``n_dropped``.
 
-    Null text counts as empty and stays empty; rows that repeat id and text are
-    one document; an empty table gives no rows.
+    Null text counts as empty and becomes empty; rows that repeat id and text are
+    one document; an empty table gives no rows; where the caller has columns of
+    the added names, the added ones get an underscore more.
+
+    The hashes of up to BROADCAST_LINES recurring lines are sent to all tasks, so
+    that documents aren't shuffled. Beyond that, lines meet them by hash, and a
+    document the numbers of its recurring lines by two hashes of its id and text.
     """
-    keep = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
-    drops = dropped_lines(docs, id_col, text_col, min_documents)
-    rows = _row_key(docs, id_col, text_col).join(drops.hint("shuffle_merge"), "_row", "left")
-    lines = F.split("_text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("drop", i))
-    return rows.select(
-        *[F.col(f"`{c}`") for c in keep],
-        F.when(F.col("drop").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n")).alias(text_col),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    spark = docs.sparkSession
+    names, drop = docs.columns, recurring_lines(docs, id_col, text_col, min_documents)
+    n_lines, n_dropped = fresh_name(docs, "n_lines"), fresh_name(docs, "n_dropped")
+    schema = StructType([*(f if f.name != text_col else StructField(text_col, StringType()) for f in docs.schema), StructField(n_lines, LongType()), StructField(n_dropped, LongType())])
+
+    def without(texts: list[str | None], gone_of: Callable[[list[list[tuple[int, int]]]], list[set[int]]]) -> list[pa.Array]:
+        parts = [(t or "").split("\n") for t in texts]
+        gone = gone_of([[(no, _hash(_joined(tokens))) for no, tokens in lines_of(t or "")] for t in texts])
+        kept = ["\n".join([x for i, x in enumerate(p) if i not in g]) if g else t or "" for t, p, g in zip(texts, parts, gone)]
+        return [pa.array(kept, pa.string()), pa.array(map(len, parts), pa.int64()), pa.array(map(len, gone), pa.int64())]
+
+    if (count := drop.count()) <= BROADCAST_LINES:
+        held = spark.sparkContext.broadcast(np.sort(drop.toArrow().column(0).to_numpy()) if count else np.empty(0, np.int64))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def gone_of(lines: list[list[tuple[int, int]]]) -> list[set[int]]:
+                hashes = np.array([h for own in lines for _, h in own], np.int64)
+                at = np.minimum(np.searchsorted(held.value, hashes), max(0, count - 1))
+                hit = iter((held.value[at] == hashes).tolist() if count else [False] * len(hashes))
+                return [{no for (no, _), y in zip(own, hit) if y} for own in map(list, lines)]
+
+            for batch in batches:
+                text, *extra = without(batch.column(text_col).to_pylist(), gone_of)
+                columns = [text if c == text_col else batch.column(i) for i, c in enumerate(batch.schema.names)]
+                yield pa.RecordBatch.from_arrays([*columns, *extra], names=schema.names)
+
+        return docs.mapInArrow(work, schema)
+    row, also, gone = fresh_name(docs, "_row"), fresh_name(docs, "_also"), fresh_name(docs, "_drop")
+    keyed = docs.withColumn(row, _row_key(docs, id_col, text_col)).withColumn(also, _row_key(docs, id_col, text_col, 1))
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(r, s, no, _hash(_joined(t))) for r, s, text in zip(*(c.to_pylist() for c in batch.columns)) for no, t in lines_of(text)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((),) * 4)], names=["row", "also", "no", "line"])
+
+    lines = cut(keyed.select(row, also, text_of(f"`{text_col}`")).mapInArrow(numbered, "row long, also long, no long, line long"))
+    sizes = lines.join(drop, "line", "left_semi").groupBy("line").agg(F.count(F.lit(1)).alias("size"))
+    met = skew_join(lines, cut(sizes), "line", "size", max(1, lines.count()))
+    drops = met.groupBy(F.col("row").alias(row), F.col("also").alias(also)).agg(F.collect_set("no").alias(gone))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = [set(x or ()) for x in batch.column(gone).to_pylist()]
+            text, *extra = without(batch.column(text_col).to_pylist(), lambda _: numbers)
+            columns = [text if c == text_col else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, *extra], names=schema.names)
+
+    return keyed.join(drops, [row, also], "left").mapInArrow(apply, schema)

@@ -465,14 +465,17 @@ def _crossing(left: DataFrame, percent: int) -> DataFrame:
             sizes = {c: pa.array(records[c].astype(np.int64)) for c in ("least", "partner")}
             yield _batch(token=_longs(records["token"]), rep=_longs(records["node"]), **columns, **sizes)
 
-    members = cut(left.select("rep", "n", "keys", "comp", "block", "label").mapInArrow(spread, "token long, rep long, comp long, block long, label long, least long, partner long"))
-    shares = members.groupBy("comp", "token", "label").agg(F.count(F.lit(1)).alias("size"))
-    mixed = shares.groupBy("comp", "token").agg(F.max(F.struct("size", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    members = cut(members.join(mixed.select("comp", "token", F.col("top.label").alias("top")), ["comp", "token"]))
-    homes = members.groupBy("comp", "token", F.col("block").alias("home")).agg(
+    members = left.select("rep", "n", "keys", "comp", "block", "label").mapInArrow(spread, "token long, rep long, comp long, block long, label long, least long, partner long")
+    # a shingle in a group; were two to share a hash, their sets would only be tried in vain
+    members = cut(members.withColumn("spot", F.xxhash64("comp", "token")).drop("token"))
+    shares = members.groupBy("spot", "label").agg(F.count(F.lit(1)).alias("size"))
+    mixed = shares.groupBy("spot").agg(F.max(F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size")).filter("parts > 1")
+    mixed = cut(mixed.select("spot", F.col("most.label").alias("top"), "size"))
+    members = cut(skew_join(members, mixed, "spot", "size", max(1, members.count())).drop("size"))
+    homes = members.groupBy("comp", "spot", F.col("block").alias("home")).agg(
         F.min("label").alias("one"), F.max("label").alias("another"), F.min("least").alias("least_there"), F.max("partner").alias("partner_there")
     )
-    outside = members.filter("label <> top").join(homes, ["comp", "token"])
+    outside = members.filter("label <> top").join(homes, ["comp", "spot"])
     outside = outside.filter("home <> block and (one <> label or another <> label) and least_there <= partner and least <= partner_there")
     probes = cut(outside.select("comp", "home", F.col("block").alias("other"), "rep").distinct())
     trees = probes.select("comp", F.col("home").alias("block"), "other").distinct()

@@ -33,6 +33,19 @@ def test_exact_joins_by_shuffle_beyond_the_bound(docs, monkeypatch):
     assert sorted(map(tuple, exact_dedup.duplicate_report(docs).collect())) == want
 
 
+@pytest.mark.parametrize("bound", [32 << 20, 1])
+def test_exact_leaves_texts_where_they_are(docs, monkeypatch, bound):
+    """No shuffle carries texts, however large the filter; beyond the rows' bound one does, by hash and id."""
+    monkeypatch.setattr(exact_dedup, "MAX_BROADCAST_BYTES", bound)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    left = exact_dedup.drop_duplicates(docs)
+    assert "Exchange hashpartitioning" not in plan(left) and "SortMergeJoin" not in plan(left)
+    want = sorted(r["doc_id"] for r in left.collect())
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    shuffled = exact_dedup.drop_duplicates(docs)
+    assert plan(shuffled).count("Exchange hashpartitioning") == 2 and sorted(r["doc_id"] for r in shuffled.collect()) == want
+
+
 def test_exact_edges(spark, none):
     assert exact_dedup.duplicate_report(none).count() == 0 and exact_dedup.drop_duplicates(none).count() == 0
     twice = spark.createDataFrame([(1, "x"), (1, "x"), (None, "x"), (None, "y"), (None, "y")], "doc_id long, text string")

@@ -33,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate files, in whatever store it is."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from the files."""
     shared_dir(df.sparkSession)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from peakloom.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from peakloom.llm.common import shared_dir
+from peakloom.llm.common import delete, shared_dir
 from peakloom.llm.queries import vocabulary
 
 
@@ -49,11 +49,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``, writing each one's result to the shared folder."""
+    """Apply the stages to ``documents``, writing each one's result to the shared folder.
+
+    A stage's documents are deleted when the next one's are written, so that one
+    copy is left besides the result.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        if k:
+            delete(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(path)
     return docs

@@ -4,19 +4,26 @@ Features are a text's distinct words and their first letters; those that tell
 the labels apart most are selected. One weight vector is shared by all ordered
 thresholds: P(grade > k) = logistic(w·x - theta_k). The model is fitted on a
 bounded sample of labelled rows and scores every document.
+
+Labels say only toxic or not. The grades above 0 are thirds of the toxic sample
+by the share of words that mark toxicity, and the markers are chosen on the same
+sample. So severity orders toxic texts by how densely they are so, by this data's
+own words; it isn't held against any judged severity, and only the first
+threshold, toxic or not, can be checked against labels.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from .common import cut, small_batches, text_of
+from .common import cut, fresh_name, small_batches, text_of
 
 #: Labelled rows used at most, of the toxic and of the others.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 6_000, 12_000
@@ -26,11 +33,11 @@ MIN_SUPPORT = 4
 #: Standard errors by which a selected feature's log odds differ from 0.
 MIN_STRENGTH = 2.5
 #: Penalty on squared weights.
-PENALTY = 0.1
+PENALTY = 0.3
 PREFIXES = (2, 3, 4, 5)
 GRADES = 3
 #: P(grade > 0) from which a document is rejected.
-REJECT = 0.4
+REJECT = 0.3
 CACHE_WORDS = 500_000
 _EDGES = re.compile(r"^\W+|\W+$")
 
@@ -49,8 +56,8 @@ def _distinct(text: str | None) -> set[str]:
 
 def _counts(words: set[str], lookup) -> dict[int, int]:
     out: dict[int, int] = {}
-    for word in words:
-        for f in lookup(word):
+    for found in filter(None, map(lookup, words)):
+        for f in found:
             out[f] = out.get(f, 0) + 1
     return out
 
@@ -78,44 +85,72 @@ class OrdinalModel:
     length_weight: float
     thresholds: np.ndarray
 
+    def raw_score(self, words: set[str], lookup: "_Lookup") -> float:
+        """The linear score of a text's distinct words."""
+        found = _counts(words, lookup.__getitem__)
+        score = self.length_weight * np.log1p(len(words))
+        if found:
+            score += float(np.log1p(np.fromiter(found.values(), float)) @ self.weights[np.fromiter(found, np.int64)])
+        return score
+
     def exceed(self, score: float) -> np.ndarray:
         """P(grade > k) for each threshold k."""
         return 1 / (1 + np.exp(np.clip(self.thresholds - score, -60, 60)))
 
 
-def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, lengths: np.ndarray, grades: np.ndarray, features: int, levels: int, l2: float = PENALTY, steps: int = 400) -> tuple[np.ndarray, float, np.ndarray]:
-    """Maximum penalised likelihood of the cumulative-link model by Adam, full batches.
+def minimised(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, least: float = 1e-6, steps: int = 300, memory: int = 12) -> np.ndarray:
+    """Where the smooth function ``f``, which gives value and gradient, is least, by L-BFGS from ``x``.
+
+    Stops when no part of the gradient is over ``least``, or after ``steps``.
+    """
+    value, slope = f(x)
+    seen: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        if np.abs(slope).max() <= least:
+            break
+        way, parts = slope.copy(), []
+        for s, y in reversed(seen):
+            parts.append((s @ way) / (s @ y))
+            way -= parts[-1] * y
+        way *= (seen[-1][0] @ seen[-1][1]) / (seen[-1][1] @ seen[-1][1]) if seen else 1 / max(1.0, np.abs(slope).sum())
+        for (s, y), part in zip(seen, reversed(parts)):
+            way += (part - (y @ way) / (s @ y)) * s
+        step, fall = 1.0, slope @ way
+        while (new := f(x - step * way))[0] > value - 1e-4 * step * fall and step > 1e-12:
+            step /= 2
+        moved, turned = -step * way, new[1] - slope
+        if moved @ turned > 1e-14:
+            seen = [*seen[1 - memory :], (moved, turned)]
+        x, (value, slope) = x + moved, new
+    return x
+
+
+def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, lengths: np.ndarray, grades: np.ndarray, features: int, levels: int, l2: float = PENALTY) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights, the length's weight and thresholds of greatest penalised likelihood in the cumulative-link model.
 
     Thresholds are a first one and positive gaps, so they stay in order.
     """
     n = len(grades)
-    w, b, first, gaps = np.zeros(features), 0.0, 2.0, np.zeros(levels - 1)
-    moments = [np.zeros(features + 1 + levels), np.zeros(features + 1 + levels)]
-    for step in range(1, steps + 1):
-        theta = first + np.r_[0.0, np.cumsum(np.exp(gaps))]
+    at, has_low, has_high = (np.arange(n), grades), grades > 0, grades < levels
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, b, first, gaps = x[:features], x[features], x[features + 1], np.exp(np.clip(x[features + 2 :], -20, 20))
+        theta = first + np.r_[0.0, np.cumsum(gaps)]
         score = np.bincount(rows, values * w[columns], n) + b * lengths
-        z = np.clip(score[:, None] - theta[None, :], -40, 40)
-        p = 1 / (1 + np.exp(-z))
-        upper = np.c_[np.ones(n), p]
-        lower = np.c_[p, np.zeros(n)]
-        at = np.arange(n), grades
-        likely = np.maximum(upper[at] - lower[at], 1e-12)
-        slope = p * (1 - p)
+        p = 1 / (1 + np.exp(-np.clip(score[:, None] - theta[None, :], -40, 40)))
+        likely = np.maximum(np.c_[np.ones(n), p][at] - np.c_[p, np.zeros(n)][at], 1e-12)
+        change = p * (1 - p)
         # d log P / d z_k: the threshold below the grade pushes up, the one above down
         gz = np.zeros_like(p)
-        has_low, has_high = grades > 0, grades < levels
-        gz[has_low, grades[has_low] - 1] += (slope[has_low, grades[has_low] - 1] / likely[has_low])
-        gz[has_high, grades[has_high]] -= (slope[has_high, grades[has_high]] / likely[has_high])
-        gs = gz.sum(1)
-        gw = np.bincount(columns, values * gs[rows], features) - l2 * w
-        gt = -gz.sum(0)
-        g_gaps = np.array([gt[k + 1 :].sum() for k in range(levels - 1)]) * np.exp(gaps)
-        g = np.r_[gw, (gs * lengths).sum() - l2 * b, gt.sum(), g_gaps] / n
-        moments[0] = 0.9 * moments[0] + 0.1 * g
-        moments[1] = 0.999 * moments[1] + 0.001 * g * g
-        move = 0.05 * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-9)
-        w, b, first, gaps = w + move[:features], b + move[features], first + move[features + 1], gaps + move[features + 2 :]
-    return w, float(b), first + np.r_[0.0, np.cumsum(np.exp(gaps))]
+        gz[has_low, grades[has_low] - 1] += change[has_low, grades[has_low] - 1] / likely[has_low]
+        gz[has_high, grades[has_high]] -= change[has_high, grades[has_high]] / likely[has_high]
+        gs, gt = gz.sum(1), -gz.sum(0)
+        g_gaps = np.array([gt[k + 1 :].sum() for k in range(levels - 1)]) * gaps
+        up = np.r_[np.bincount(columns, values * gs[rows], features) - l2 * w, gs @ lengths - l2 * b, gt.sum(), g_gaps]
+        return -(np.log(likely).sum() - l2 / 2 * (w @ w + b * b)) / n, -up / n
+
+    x = minimised(loss, np.r_[np.zeros(features + 1), 2.0, np.zeros(levels - 1)])
+    return x[:features], float(x[features]), x[features + 1] + np.r_[0.0, np.cumsum(np.exp(np.clip(x[features + 2 :], -20, 20)))]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -123,7 +158,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.withColumn("_h", F.xxhash64(F.lit(7), "doc_id"))
     chosen = marks.filter("toxic = 1").orderBy("_h").limit(SAMPLE_TOXIC).unionByName(marks.filter("toxic <> 1").orderBy("_h").limit(SAMPLE_CLEAN))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(f"`{text_col}`").alias("text"))
     return rows.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")  # at most the two bounds
 
 
@@ -192,47 +227,38 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     """A row per document: doc_id, expected_severity, p_toxic, grade, rejected.
 
     ``expected_severity`` is the sum of P(grade > k); ``grade`` the most likely
-    one. Null text counts as empty; repeated rows keep their rows; an empty table
-    gives no rows; other columns are ignored.
+    one. Null text counts as empty; repeated rows and null ids keep their rows; an
+    empty table gives no rows; other columns are ignored.
     """
-    return _scored(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model, ["doc_id"], "text")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    return _scored(rows, model, ["doc_id"], "text", ["expected_severity", "p_toxic", "grade", "rejected"])
 
 
 def clean(docs: DataFrame, model: OrdinalModel, text_col: str = "text") -> DataFrame:
-    """The documents that are not rejected, with their columns."""
-    columns = docs.columns
-    scored = _scored(docs, model, columns, text_col, prefix="_tox_")
-    return scored.filter("not _tox_rejected").select([f"`{c}`" for c in columns])
+    """The documents that are not rejected, with all their columns, whatever their names."""
+    names = [fresh_name(docs, f"_{n}") for n in ("severity", "toxic", "grade", "rejected")]
+    scored = _scored(docs, model, docs.columns, text_col, names)
+    return scored.filter(~F.col(names[3])).select([f"`{c}`" for c in docs.columns])
 
 
-def _scored(docs: DataFrame, model: OrdinalModel, keep: list[str], text_col: str, prefix: str = "") -> DataFrame:
+def _scored(docs: DataFrame, model: OrdinalModel, keep: list[str], text_col: str, names: list[str]) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)  # FEATURES strings and weights
-    names = [prefix + n for n in ("expected_severity", "p_toxic", "grade", "rejected")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         lookup = _Lookup({f: i for i, f in enumerate(model.features)})
-        weights = model.weights
         for batch in batches:
             rows = []
             for text in batch.column(text_col).to_pylist():
-                own = _distinct(text)
-                found: dict[int, int] = {}
-                for fs in filter(None, map(lookup.__getitem__, own)):
-                    for f in fs:
-                        found[f] = found.get(f, 0) + 1
-                score = model.length_weight * np.log1p(len(own))
-                if found:
-                    score += float(np.log1p(np.fromiter(found.values(), float)) @ weights[np.fromiter(found, np.int64)])
-                p = model.exceed(score)
+                p = model.exceed(model.raw_score(_distinct(text), lookup))
                 each = -np.diff(np.r_[1.0, p, 0.0])
                 rows.append((float(p.sum()), float(p[0]), int(each.argmax()), bool(p[0] >= REJECT)))
             columns = list(zip(*rows)) or [()] * 4
             out = [pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.float64(), pa.int32(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *out], names=[*keep, *names])
 
-    kinds = dict(docs.dtypes)
-    fields = [f"`{c}` {kinds[c]}" for c in keep] + [f"{n} {t}" for n, t in zip(names, ("double", "double", "int", "boolean"))]
-    return docs.mapInArrow(work, ", ".join(fields))
+    kinds = {f.name: f for f in docs.schema}
+    made = zip(names, (DoubleType(), DoubleType(), IntegerType(), BooleanType()))
+    return docs.mapInArrow(work, StructType([*(kinds[c] for c in keep), *(StructField(n, t) for n, t in made)]))

@@ -1,11 +1,15 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base patterns find the seed entities. The words around seeds induce lexical
-patterns; the graph of patterns and instances is scored in turns: a pattern is
-trusted by the share of its instances that are known, an instance by the trusted
-patterns it stands in. Instances that pass become known for the next turn, so
-confident patterns discover identifiers that no base pattern matches. Everything
-is DataFrame code.
+Base patterns find the seed entities. The words around them induce lexical
+patterns, and a graph joins patterns to instances, where an instance is an
+identifier as a string, wherever it stands. It is scored in turns: a pattern is
+trusted by the share of its instances that are known, an instance by all the
+trusted patterns that it stands in, in any document. Instances that pass become
+known everywhere, so that the next turn trusts further patterns, and confident
+patterns discover identifiers that no base pattern matches. One more kind is
+open: strings that mix letters and digits at length are seeds of secrets, for the
+patterns' trust alone; like all others they are found only if patterns confirm
+them. Everything is DataFrame code.
 
 Java's regular expressions recurse on repeated groups and rescan long runs, so
 inner separators are first replaced, one character for one, by a mark that a
@@ -21,12 +25,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import cut, skew_join, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-#: Evidence that a pattern needs, its least trust, and the least score of an instance.
+#: The kinds that the method may add.
+FOUND_KINDS = (*KINDS, "secret")
+#: Documents and instances that a pattern needs, its least trust, and the least score of an instance.
 MIN_DOCUMENTS, MIN_TRUST, MIN_SCORE = 5, 0.6, 0.9
 TURNS = 3
-#: Characters of an identifier that the method may add.
+#: Least characters of a seed of secrets, and of a secret that a pattern discovers.
+SEED_SECRET, LEAST_SECRET = 20, 8
+#: Characters from which an instance is named by its hash.
 LONGEST = 64
-#: Characters of context before and after a word, as far as the next such word.
+#: Characters of context before and after a word, as far as the next such word; a pattern has at most three words of it.
 BEFORE, AFTER = 60, 30
 #: Matches in one block of a running sum.
 BLOCK = 64
@@ -38,7 +46,9 @@ _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = rf"[0-9{_MARK}]{{2,}}"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: A word that may be an identifier: it has a digit or an at sign.
-_WORDS = r"(?<!\S)(?=\S{0,200}?[0-9@])\S+"
+_WORDS = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
+#: What stands around an identifier in its word.
+_BEFORE, _AFTER = r"^[^\p{L}0-9+(]+", r"[^\p{L}0-9)]+$"
 
 
 def _marked(text: Column, inner: str) -> Column:
@@ -123,57 +133,78 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def _shape(found: Column) -> Column:
-    """The kind that a word's own characters allow; null if none does."""
-    core = F.regexp_replace(found, r"^[^\p{L}0-9+(]+|[^\p{L}0-9)]+$", "")
+def _shape(core: Column) -> Column:
+    """The kind that an identifier's own characters allow; null if none does."""
     n = F.length(_digits(core))
     return (
-        F.when(F.length(found) > LONGEST, None)
-        .when(F.regexp_like(core, F.lit(r"^[^@\s]+@[^@\s]*[\p{L}0-9]$")), "email")
+        F.when(F.regexp_like(core, F.lit(r"^[^@\s]+@[^@\s]*[\p{L}0-9]$")), "email")
         .when(F.regexp_like(core, F.lit(r"^(?=.*[0-9a-fA-F]:)[0-9a-fA-F:]{6,39}$")), "ip")
         .when(F.regexp_like(core, F.lit(r"^[0-9]([0-9 -]*)[0-9]$")) & n.between(13, 19), "card")
         .when(F.regexp_like(core, F.lit(r"^[+(]?[0-9][0-9().-]*[0-9]$")) & n.between(7, 15), "phone")
+        .when(F.regexp_like(core, F.lit(rf"^(?=[^A-Za-z]*[A-Za-z])(?=[^0-9]*[0-9])[A-Za-z0-9+/=_.-]{{{LEAST_SECRET},}}$")), "secret")
     )
 
 
-def discovered(candidates: DataFrame) -> DataFrame:
-    """Spans ``_row, kind, start, end`` that trusted patterns add to the base ones.
+def _seed_secret(core: Column) -> Column:
+    """Whether a string is a seed of secrets: long, with a fair share of letters and of digits."""
+    n = F.length(_digits(core))
+    return F.regexp_like(core, F.lit(rf"^[A-Za-z0-9+/=_-]{{{SEED_SECRET},}}$")) & (n * 6 >= F.length(core)) & (n * 6 <= F.length(core) * 5)
+
+
+def occurrences(words: DataFrame) -> DataFrame:
+    """``_row, start, end, node, kind, shape, seed, contexts`` of words (_row, start, end, found, kind, contexts).
 
-    A pattern's instances are all candidate words in its context; its trust in a
-    kind is the share of them, with one added to the total, known as that kind.
+    Words that begin a base span are that span, and have its kind. The identifier is the word without the marks around it; ``node`` names it without case.
     """
-    rows = cut(candidates.withColumn("_id", F.monotonically_increasing_id()).withColumn("shape", _shape(F.col("found"))))
-    edges = cut(rows.select("_id", "_row", "kind", "shape", F.explode("contexts").alias("context")))
-    known = rows.filter("kind is not null").select("_id", "kind")
-    total, news = max(1, edges.count()), None
+    begin = F.regexp_extract("found", _BEFORE, 0)
+    core = F.regexp_replace(F.col("found").substr(F.length(begin) + 1, F.length("found")), _AFTER, "")
+    cut_out = words.withColumn("start", F.col("start") + F.length(begin)).withColumn("core", core).withColumn("end", F.col("start") + F.length("core"))
+    node = F.lower(F.when(F.length("core") <= LONGEST, F.col("core")).otherwise(F.sha2(F.lower("core").cast("binary"), 256)))
+    return cut_out.filter("core <> ''").select("_row", "start", "end", node.alias("node"), "kind", _shape(F.col("core")).alias("shape"), _seed_secret(F.col("core")).alias("seed"), "contexts")
+
+
+def discovered(found: DataFrame) -> DataFrame:
+    """Spans ``_row, kind, start, end`` that trusted patterns add to the base ones; ``found`` are :func:`occurrences`.
+
+    A pattern's instances are the different identifiers in its context; its trust
+    in a kind is the share of them, with one added to the total, known as that
+    kind. An instance's score is 1 less the product of the trusted patterns' doubt.
+    Where a base pattern matches some occurrence of a string, it is known as that
+    kind (of several, the first by name), and only its other occurrences are added.
+    """
+    nodes = cut(found.groupBy("node").agg(F.min("kind").alias("kind"), F.min("shape").alias("shape"), F.max("seed").alias("seed"), F.count(F.lit(1)).alias("times")))
+    each = found.select("node", "_row", F.explode("contexts").alias("context"))
+    pairs = cut(each.groupBy("node", "context").agg(F.count(F.lit(1)).alias("times")))
+    docs = each.select("context", "_row").distinct().groupBy("context").agg(F.count(F.lit(1)).alias("docs"))
+    sizes = pairs.groupBy("context").agg(F.count(F.lit(1)).alias("size"))
+    able = docs.join(sizes, "context").filter((F.col("docs") >= MIN_DOCUMENTS) & (F.col("size") >= MIN_DOCUMENTS))
+    total = max(1, pairs.count())
+    edges = cut(skew_join(pairs.select("node", "context"), cut(able), "context", "size", total).select("node", "context", "size"))
+    seeds = nodes.select("node", F.coalesce("kind", F.when(F.col("seed"), "secret")).alias("kind")).filter("kind is not null")
+    open_ = nodes.filter("kind is null and shape is not null").select("node", "shape", F.col("seed").alias("seed"))
+    known, news = cut(seeds), None
     for _ in range(TURNS):
-        states = edges.drop("kind").join(known, "_id", "left")
-        counted = states.groupBy("context").agg(
-            *[F.sum((F.coalesce("kind", F.lit("")) == k).cast("long")).alias(k) for k in KINDS],
-            F.count(F.lit(1)).alias("size"), F.approx_count_distinct("_row").alias("docs"),
-        )
-        best = F.greatest(*[F.struct(F.col(k).alias("n"), F.lit(k).alias("of")) for k in KINDS])
-        trusted = (
-            counted.withColumn("best", best)
-            .select("context", "size", F.col("best.of").alias("of"), (F.col("best.n") / (F.col("size") + 1)).alias("trust"))
-            .filter((F.col("trust") >= MIN_TRUST) & (F.col("docs") >= MIN_DOCUMENTS) & (F.col("size") >= MIN_DOCUMENTS))
-        )
-        open_ = states.filter("kind is null and shape is not null").select("_id", "shape", "context")
-        scored = skew_join(open_, cut(trusted), "context", "size", total).filter("shape = of")
+        states = edges.join(known, "node")
+        counted = states.groupBy("context", "kind").agg(F.count(F.lit(1)).alias("n"), F.first("size").alias("size"))
+        best = counted.groupBy("context").agg(F.max(F.struct("n", "kind")).alias("best"), F.first("size").alias("size"))
+        trusted = best.select("context", "size", F.col("best.kind").alias("of"), (F.col("best.n") / (F.col("size") + 1)).alias("trust")).filter(F.col("trust") >= MIN_TRUST)
+        left = open_ if news is None else open_.join(news, "node", "left_anti")
+        scored = skew_join(edges.drop("size").join(left, "node"), cut(trusted), "context", "size", total).filter("shape = of or (of = 'secret' and seed)")
         passed = (
-            scored.groupBy("_id", F.col("of").alias("kind"))
+            scored.groupBy("node", F.col("of").alias("kind"))
             .agg((1 - F.exp(F.sum(F.log(F.lit(1.0) - F.least("trust", F.lit(0.999)))))).alias("score"))
             .filter(F.col("score") >= MIN_SCORE)
-            .select("_id", "kind")
-        )
+            .groupBy("node").agg(F.max(F.struct("score", "kind")).alias("best")).select("node", F.col("best.kind").alias("kind"))
+        )
         fresh = cut(passed)
         if fresh.isEmpty():
             break
         news = fresh if news is None else news.unionByName(fresh)
-        known = known.unionByName(fresh)
-    if news is None:
-        return rows.filter("false").select("_row", "kind", "start", "end")
-    return rows.drop("kind").join(news, "_id").select("_row", "kind", "start", "end")
+        known = cut(known.join(fresh, "node", "left_anti").unionByName(fresh))
+    base = nodes.filter("kind is not null").select("node", "kind")
+    named = (base if news is None else base.unionByName(news)).join(nodes.select("node", "times"), "node")
+    free = found.filter("kind is null").select("_row", "node", "start", "end")
+    return skew_join(free, cut(named), "node", "times", max(1, free.count())).select("_row", "kind", "start", "end")
 
 
 def _tagged(kind: str, found: Column) -> Column:
@@ -203,7 +234,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # only rows with a span or a possible identifier carry more than their empty result
     slim = cut(_based_with_words(based))
     words = slim.select("_row", F.explode("words").alias("w")).select("_row", "w.*")
-    added = discovered(words)
+    added = discovered(cut(occurrences(words)))
     grouped = added.groupBy("_row").agg(F.sort_array(F.collect_set(F.struct("kind", "start", "end"))).alias("added"))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return slim.drop("words").join(grouped, "_row", "left").withColumn("added", F.coalesce("added", none)).drop("_row")
@@ -226,25 +257,32 @@ def _based_with_words(based: DataFrame) -> DataFrame:
                 F.concat(F.lit("3:"), last, F.lit(" _ "), F.get(right, F.lit(0))),
             ))
 
-        return F.struct(
-            w["start"].alias("start"), w["end"].alias("end"), w["found"].alias("found"),
-            F.get(touching, F.lit(0))["kind"].alias("kind"),
-            F.flatten(F.transform(F.array(left), contexts)).alias("contexts"),
-        )
+        def named(touching: Column) -> Column:
+            base = F.get(touching, F.lit(0))
+            # the word where a base span begins stands for the span, the words after it for nothing
+            whole = F.when(base["start"] >= w["start"], text.substr(base["start"] + 1, base["end"] - base["start"]))
+            return F.struct(
+                F.coalesce(base["start"], w["start"]).alias("start"), F.coalesce(base["end"], w["end"]).alias("end"),
+                F.when(base.isNull(), w["found"]).otherwise(whole).alias("found"), base["kind"].alias("kind"),
+                F.flatten(F.transform(F.array(left), contexts)).alias("contexts"),
+            )
+
+        return _bind(touching, named)
 
     none = F.array().cast("array<struct<start:int,end:int,found:string,kind:string,contexts:array<string>>>")
-    some = F.transform(spans(text, _WORDS, context=True), word)
+    some = F.filter(F.transform(spans(text, _WORDS, context=True), word), lambda w: w["found"].isNotNull())
     return based.withColumn("words", F.when(F.regexp_like(text, F.lit("[0-9@]")), some).otherwise(none)).drop("text")
 
 
 def digest(found: DataFrame) -> DataFrame:
     """Counts and digest of the base spans, and all spans as text, by kind and start."""
 
-    listed = lambda spans: F.array_join(F.concat(*[_as_text(spans, k) for k in KINDS]), ",")
+    listed = lambda spans: F.array_join(F.concat(*[_as_text(spans, k) for k in FOUND_KINDS]), ",")
     count = lambda k: F.size(_of_kind(F.col("base"), k)).cast("long").alias(f"n_{k}")
     return found.select(
         "doc_id", *[count(k) for k in KINDS],
         F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         listed(F.concat("base", "added")).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )

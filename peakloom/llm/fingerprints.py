@@ -3,7 +3,9 @@
 Sketches of documents of any length are comparable and merge by union. A text
 with few hashes below the threshold keeps its FLOOR smallest instead, and its
 own threshold with them; two sketches are compared below the smaller of their
-thresholds, where both are whole. Everything is DataFrame code.
+thresholds, where both are whole. A short text may have too few hashes there to
+say how much of it a long one contains: then containment is unknown, null, not 0.
+Everything is DataFrame code.
 """
 
 from __future__ import annotations
@@ -15,6 +17,10 @@ from .common import partitions, text_of
 WIDTH = 5
 #: One hash in SHARE is kept, and at least the FLOOR smallest.
 SHARE, FLOOR = 8, 16
+#: Hashes of the smaller sketch below the common threshold, from which containment is estimated.
+LEAST = 3
+#: Ranges of ids at most; each is a task's, so a run of more data needs more.
+RANGES = 32_768
 _LOWEST, _HIGHEST = -(1 << 63), (1 << 63) - 1
 _SPACE = r"[ \t\n\x0B\f\r]+"
 
@@ -56,18 +62,21 @@ def sketch(text: Column, width: int = WIDTH, share: int = SHARE, floor: int = FL
 
 
 def likeness(one: Column, other: Column) -> dict[str, Column]:
-    """Estimates from two sketches: ``jaccard`` and ``containment`` in the smaller.
+    """Estimates from two sketches: ``jaccard``, and ``containment`` of the one with fewer hashes in the other.
 
-    1 where both are empty, 0 where one is.
+    1 where the sketches are equal, 0 where one is of no shingles; ``containment``
+    is null where fewer than LEAST of its hashes can be compared and these are not all.
     """
     limit = F.least(one["threshold"], other["threshold"])
     a = F.filter(one["hashes"], lambda h: h <= limit)
     b = F.filter(other["hashes"], lambda h: h <= limit)
     both, n, m = F.size(F.array_intersect(a, b)), F.size(a), F.size(b)
     same = F.when(one["hashes"] == other["hashes"], F.lit(1.0))
+    empty = (F.size(one["hashes"]) == 0) | (F.size(other["hashes"]) == 0)
+    whole = limit == _HIGHEST  # neither sketch leaves any hash out
     return {
         "jaccard": same.when(n + m == 0, F.lit(0.0)).otherwise(both / (n + m - both)),
-        "containment": same.when(F.least(n, m) == 0, F.lit(0.0)).otherwise(both / F.least(n, m)),
+        "containment": same.when(empty, F.lit(0.0)).when((F.least(n, m) >= LEAST) | whole, both / F.least(n, m)),
     }
 
 
@@ -90,24 +99,35 @@ def _bucket(key: Column, borders: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows ``_key, text, next_text, _bucket``, the next being the one with the next lower id.
+    """Rows ``_key, _h, text, _bucket, _ghost``: each bucket's rows in order, then one of the next bucket's.
 
-    The last wraps to the first. Rows are dealt by id range, and the first row of
-    each range is also sent to the range before it, so no row needs a global sort.
+    Rows are dealt by range of (id, hash of the text), an id of many rows to
+    several ranges, and the first row of each range is also sent to the range
+    before it, the last's to the first; so no row needs a global sort.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("_key"), text_of(text_col).alias("text"))
-    n = min(4096, 2 * partitions(docs.sparkSession))
+    spark = docs.sparkSession
+    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LOWEST)).alias("_key"), text_of(f"`{text_col}`").alias("text"))
+    rows = rows.withColumn("_h", F.xxhash64("text"))
+    n = min(RANGES, 2 * partitions(spark))
     found = rows.agg(F.percentile_approx("_key", [i / n for i in range(1, n)], 100 * n)).first()[0] or []
-    rows = rows.withColumn("_bucket", _bucket(F.col("_key"), sorted(set(found))))
-    heads = sorted(rows.groupBy("_bucket").agg(F.max("_key").alias("head")).collect(), reverse=True)  # at most n rows
+    hot = {k: times for k in set(found) if (times := found.count(k)) > 1}  # ids of several ranges' rows
+    borders = sorted(set(found) | {k - 1 for k in hot if k > _LOWEST})
+    part = F.lit(0)
+    if hot:
+        times = F.element_at(F.map_from_arrays(F.lit(list(hot)).cast("array<long>"), F.lit([t + 1 for t in hot.values()])), F.col("_key"))
+        share = F.col("_h").cast("double") / 2.0**64 + 0.5
+        part = F.coalesce(F.least(F.floor(share * times).cast("int"), times - 1), F.lit(0))
+    rows = rows.withColumn("_bucket", _bucket(F.col("_key"), borders).cast("long") * (2 * RANGES) + part)
+    heads = rows.groupBy("_bucket").agg(F.max(F.struct("_key", "_h")).alias("head")).collect()  # at most 2 n rows
+    heads = sorted(((*r["head"], r["_bucket"]) for r in heads), reverse=True)
+    rows = rows.withColumn("_ghost", F.lit(0))
     if not heads:
-        return rows.select("_key", "text", F.col("text").alias("next_text"), "_bucket", F.lit(0).alias("_ghost"))
-    before = [(h["head"], heads[i - 1]["_bucket"], int(i == 0)) for i, h in enumerate(heads)]
-    ghosts = rows.drop("_bucket").join(
-        F.broadcast(docs.sparkSession.createDataFrame(before, "_key long, _bucket int, _wraps int")), "_key"
+        return rows
+    before = [(key, h, heads[i - 1][2], 1 + int(i == 0)) for i, (key, h, _) in enumerate(heads)]
+    ghosts = rows.drop("_bucket", "_ghost").join(
+        F.broadcast(spark.createDataFrame(before, "_key long, _h long, _bucket long, _ghost int")), ["_key", "_h"]
     )
-    ghosts = ghosts.groupBy("_key", "_bucket", "_wraps").agg(F.min("text").alias("text"))
-    return rows.withColumn("_ghost", F.lit(0)).unionByName(ghosts.withColumn("_ghost", F.col("_wraps") + 1).drop("_wraps"))
+    return rows.unionByName(ghosts.groupBy("_key", "_h", "_bucket", "_ghost").agg(F.min("text").alias("text")))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,20 +135,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text's last floor(n_chars / 2) code points come from the start of
     the next document. Null text counts as empty, whose fingerprint is empty; a
-    null id is the lowest; rows of one id are ordered by text; an empty table
+    null id is the lowest; rows of one id are ordered by a hash of their text; an empty table
     gives no rows; other columns are ignored. ``near_*`` are Jaccard estimates,
-    ``contained_*`` containment.
+    ``contained_*`` containment, null where unknown.
     """
     from pyspark.sql import Window
 
-    order = Window.partitionBy("_bucket").orderBy("_ghost", F.desc("_key"), "text")
-    rows = with_next(docs, id_col, text_col)
-    if "next_text" not in rows.columns:
-        rows = rows.withColumn("next_text", F.lead("text").over(order))
+    order = Window.partitionBy("_bucket").orderBy("_ghost", F.desc("_key"), F.desc("_h"), "text")
+    rows = with_next(docs, id_col, text_col).withColumn("next_text", F.lead("text").over(order))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.left("text", F.length("text") - half), F.left(F.coalesce("next_text", F.lit("")), half))
     made = rows.select(
-        "_key", "_bucket", "_ghost", "text", F.length("text").cast("long").alias("n_chars"),
+        "_key", "_h", "_bucket", "_ghost", "text", F.length("text").cast("long").alias("n_chars"),
         F.sha2(edited.cast("binary"), 256).alias("edited_sha256"),
         sketch(F.col("text")).alias("_own"), sketch(edited).alias("_edited"),
     )

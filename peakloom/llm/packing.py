@@ -19,8 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, small_batches, union
-from .tokens import encoder, gathered, with_end
+from .common import cut, gathered, small_batches, union
+from .tokens import encoder, with_end
 
 SEQUENCE = 1024
 #: A bin with fewer free tokens than this part of a sequence is emitted.

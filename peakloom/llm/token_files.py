@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import cut, partitions, shared_dir, small_batches
-from .tokens import encoder, gathered, in_lists, with_end
+from .common import cut, gathered, partitions, shared_dir, small_batches
+from .tokens import encoder, in_lists, with_end
 
 END_ID = 2
 #: Bytes of a stripe before compression, and rows between entries of its index.

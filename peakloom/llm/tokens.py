@@ -19,7 +19,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +27,10 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-#: Parts known in a Python worker, about 250 bytes each, before they are forgotten.
-CACHE_PARTS = 1_000_000
+#: Parts known in a Python worker, about 500 bytes each with their pieces, before they are forgotten.
+CACHE_PARTS = 300_000
 #: Ids in one array that a batch gives.
 BATCH_IDS = 1 << 24
-#: Characters of text that a task encodes at once, as far as one text isn't longer.
-BATCH_CHARS = 8 << 20
 #: Stands for a part whose text must be cut otherwise.
 ODD = -1
 _CUT = re.compile(r" (?=\S)")
@@ -96,7 +94,8 @@ class Encoder:
         self.tokenizer.no_padding()
         settings = {k: made.get(k) for k in ("normalizer", "pre_tokenizer")}
         model, extra = made["model"], ("dropout", "unk_token", "continuing_subword_prefix")
-        whole = made.get("post_processor") is None and model["type"] == "BPE" and not any(model.get(k) for k in extra)
+        special = all(t["special"] for t in made.get("added_tokens") or ())  # others are found in texts
+        whole = special and made.get("post_processor") is None and model["type"] == "BPE" and not any(model.get(k) for k in extra)
         self.pattern, self.folds = next(((p, f) for s, p, f in SPLITS if whole and s == settings), (None, False))
         self._forget()
 
@@ -187,19 +186,6 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndar
     return np.insert(ids, ends, np.uint32(end_id)).astype("<u4", copy=False), offsets + np.arange(len(offsets))
 
 
-def gathered(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """The batches as tables of about BATCH_CHARS bytes of ``column``, so that a dictionary serves many texts."""
-    held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.column(column).nbytes
-        if size >= BATCH_CHARS:
-            yield pa.Table.from_batches(held).combine_chunks()
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
 _encoders: dict[str, Encoder] = {}
 
 

@@ -37,7 +37,7 @@ PENALTY = 0.3
 PREFIXES = (2, 3, 4, 5)
 GRADES = 3
 #: P(grade > 0) from which a document is rejected.
-REJECT = 0.3
+REJECT = 0.2
 CACHE_WORDS = 500_000
 _EDGES = re.compile(r"^\W+|\W+$")
 
@@ -125,12 +125,14 @@ def minimised(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray
     return x
 
 
-def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, lengths: np.ndarray, grades: np.ndarray, features: int, levels: int, l2: float = PENALTY) -> tuple[np.ndarray, float, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, lengths: np.ndarray, grades: np.ndarray, features: int, levels: int, l2: float = PENALTY, weights: np.ndarray | None = None) -> tuple[np.ndarray, float, np.ndarray]:
     """Weights, the length's weight and thresholds of greatest penalised likelihood in the cumulative-link model.
 
     Thresholds are a first one and positive gaps, so they stay in order.
+    ``weights`` say how many rows of the whole each row stands for, on average 1.
     """
     n = len(grades)
+    weigh = np.ones(n) if weights is None else weights * n / weights.sum()
     at, has_low, has_high = (np.arange(n), grades), grades > 0, grades < levels
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
@@ -144,19 +146,24 @@ def fit_ordinal(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, lengt
         gz = np.zeros_like(p)
         gz[has_low, grades[has_low] - 1] += change[has_low, grades[has_low] - 1] / likely[has_low]
         gz[has_high, grades[has_high]] -= change[has_high, grades[has_high]] / likely[has_high]
+        gz *= weigh[:, None]
         gs, gt = gz.sum(1), -gz.sum(0)
         g_gaps = np.array([gt[k + 1 :].sum() for k in range(levels - 1)]) * gaps
         up = np.r_[np.bincount(columns, values * gs[rows], features) - l2 * w, gs @ lengths - l2 * b, gt.sum(), g_gaps]
-        return -(np.log(likely).sum() - l2 / 2 * (w @ w + b * b)) / n, -up / n
+        return -(weigh @ np.log(likely) - l2 / 2 * (w @ w + b * b)) / n, -up / n
 
     x = minimised(loss, np.r_[np.zeros(features + 1), 2.0, np.zeros(levels - 1)])
     return x[:features], float(x[features]), x[features + 1] + np.r_[0.0, np.cumsum(np.exp(np.clip(x[features + 2 :], -20, 20)))]
 
 
+def marked(labels: DataFrame) -> DataFrame:
+    """``doc_id, toxic``: 1 for each labelled document that any label calls toxic, else 0."""
+    return labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """At most SAMPLE_TOXIC toxic and SAMPLE_CLEAN other labelled rows (key, text, toxic), by id hash."""
-    marks = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    marks = marks.withColumn("_h", F.xxhash64(F.lit(7), "doc_id"))
+    marks = marked(labels).withColumn("_h", F.xxhash64(F.lit(7), "doc_id"))
     chosen = marks.filter("toxic = 1").orderBy("_h").limit(SAMPLE_TOXIC).unionByName(marks.filter("toxic <> 1").orderBy("_h").limit(SAMPLE_CLEAN))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(f"`{text_col}`").alias("text"))
     return rows.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id")  # at most the two bounds
@@ -171,6 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     small_batches(spark)
     sample = cut(labelled_sample(docs, labels, id_col, text_col))
     totals = dict(sample.groupBy("toxic").count().collect())
+    whole = dict(marked(labels).groupBy("toxic").count().collect())
     if not totals.get(1) or not totals.get(0):
         return OrdinalModel([], np.zeros(0), 0.0, np.full(grades, 60.0))
 
@@ -219,7 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     borders = np.quantile(density[toxic], np.arange(1, grades) / grades)
     grade = np.where(toxic, 1 + np.searchsorted(borders, density, side="right"), 0)
     lengths = np.log1p(got["words"].to_numpy().astype(float))
-    w, b, theta = fit_ordinal(rows, columns, values, lengths, grade, len(chosen), grades)
+    stands_for = np.where(toxic, whole[1] / totals[1], whole[0] / totals[0])  # else a bounded sample would change the share of toxic rows
+    w, b, theta = fit_ordinal(rows, columns, values, lengths, grade, len(chosen), grades, weights=stands_for)
     return OrdinalModel([r["feature"] for r in chosen], w, b, theta)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 from xxhash import xxh3_64_intdigest
 
+from .common import distinct
+
 WIDTH = 5
 _WEIGHTS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64
@@ -29,4 +31,4 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
         out ^= hashes[k : n - width + 1 + k] * _WEIGHTS[k]
         out *= np.uint64(0xFF51AFD7ED558CCD)
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    return distinct(out)

@@ -1,17 +1,17 @@
-"""Tokenisation with the tokenizers library, each distinct part of a text encoded once.
-
-Texts are cut before a space that a non-space follows. Both supported ways of
-splitting have a boundary there whatever stands around it, so encoding the parts
-and joining gives the ids of the whole text. A batch's parts are dictionary-encoded
-by Arrow; only those that a Python worker hasn't met go to the library, and the
-ids of all are gathered from one buffer. What is known is forgotten after
-CACHE_PARTS parts.
-
-A part of plain Latin characters is split here, as the vocabulary file says, and
-its pieces go to the library's model; that skips the library's text handling, four
-fifths of the cost. It is done only for the two splittings that :data:`SPLITS`
-lists with their whole settings; other parts go to the library as they are, and
-so do whole texts where the file says something else.
+"""Tokenisation with the tokenizers library, each distinct piece of a text encoded once.
+
+Texts of plain Latin characters are split here, as the vocabulary file says, and
+their pieces go to the library's model; that skips the library's text handling, four
+fifths of the cost. All texts of a batch are split at once, by comparing neighbouring
+bytes' classes, and the pieces are dictionary-encoded by Arrow; only those that a
+Python worker hasn't met go to the model, and the ids of all are gathered from one
+buffer. What is known is forgotten after CACHE_PARTS pieces or CACHE_IDS ids.
+
+Other characters are left to the library: a text is cut before each space that a
+non-space follows, and a part with such a character goes there whole. Both supported
+ways of splitting have a boundary at a cut whatever stands around it, so encoding the
+parts and joining gives the ids of the whole text. The two are in :data:`SPLITS` with
+their whole settings; where the file says something else, whole texts go to the library.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from codecs import charmap_decode
 from collections.abc import Sequence
 
 import numpy as np
@@ -27,13 +28,12 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-#: Parts known in a Python worker, about 500 bytes each with their pieces, before they are forgotten.
-CACHE_PARTS = 300_000
+#: Pieces known in a Python worker, about 310 bytes each, before they are forgotten.
+CACHE_PARTS = 450_000
+#: Their ids, as a part that goes to the library may be a whole text.
+CACHE_IDS = 8_000_000
 #: Ids in one array that a batch gives.
 BATCH_IDS = 1 << 24
-#: Stands for a part whose text must be cut otherwise.
-ODD = -1
-_CUT = re.compile(r" (?=\S)")
 #: Characters that all versions of Unicode class and lower-case alike, each to one character.
 _PLAIN = re.compile("[\t\n\r !-~¡-¬®-įı-ňŊ-ǯǱ-ȟ]*")
 
@@ -68,18 +68,96 @@ def _byte_signs() -> list[str]:
     return [chr(b) if b in seen else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-class _Pieces(dict):
-    """Ids of the pieces that the model takes."""
-
-    def __init__(self, model):
-        super().__init__()
-        self.model, self.signs = model, _byte_signs()
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        plain = piece.isascii() and piece.isalnum()
-        signs = piece if plain else "".join([self.signs[b] for b in piece.encode()])
-        ids = self[piece] = tuple([t.id for t in self.model.tokenize(signs)])
-        return ids
+# Classes of characters. Those from _ODD on aren't plain; _WHOLE stands for all bytes of a part that has one.
+_SPACE, _LETTER, _NUMBER, _OTHER, _ODD, _ODD_SPACE, _WHOLE = range(7)
+
+
+def _class(c: str) -> int:
+    if not _PLAIN.fullmatch(c):
+        return _ODD_SPACE if c.isspace() else _ODD
+    return next((k for k, p in ((_SPACE, r"\s"), (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")) if regex.match(p, c)), _OTHER)
+
+
+def _tables() -> tuple[np.ndarray, ...]:
+    """Classes and lower case of single bytes and of pairs of bytes; no plain character has more than two bytes, in either case."""
+    one, low = np.full(256, _ODD, np.uint8), np.arange(256, dtype=np.uint8)
+    two, down = np.full(1 << 16, _ODD, np.uint8), np.arange(1 << 16, dtype=np.uint16)
+    for c in map(chr, range(0x250)):
+        raw, to = c.encode(), c.lower().encode() if _PLAIN.fullmatch(c) else c.encode()
+        assert len(raw) == len(to)
+        classes, lower = (one, low) if len(raw) == 1 else (two, down)
+        classes[int.from_bytes(raw)], lower[int.from_bytes(raw)] = _class(c), int.from_bytes(to)
+    return one, low, two, down
+
+
+_CLASS, _LOWER, _CLASS2, _LOWER2 = _tables()
+#: White space of three bytes.
+_WIDE = np.array([c for c in range(0x800, 0x10000) if chr(c).isspace()])
+
+
+def _starts_whole(raw: np.ndarray, classes: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Where parts begin that aren't plain; gives all their bytes the class _WHOLE."""
+    after = np.append(raw[1:], np.zeros(3, np.uint8))
+    spaced = np.append((classes[1:] == _SPACE) | (classes[1:] == _ODD_SPACE) | begin[1:], True)
+    at = np.flatnonzero((raw == 0x20) & (after[: len(raw)] >= 0xE1) & (after[: len(raw)] <= 0xE3))
+    a, b, c = (after[at + k].astype(np.int64) for k in range(3))
+    spaced[at] |= np.isin((a & 15) << 12 | (b & 63) << 6 | c & 63, _WIDE)
+    part = begin | ((raw == 0x20) & ~spaced)
+    which = np.cumsum(part, dtype=np.int32)
+    whole = np.zeros(which[-1] + 1, bool)
+    whole[which[classes >= _ODD]] = True
+    inside = whole[which]
+    classes[inside] = _WHOLE
+    return part & inside
+
+
+def split(raw: np.ndarray, offsets: np.ndarray, folds: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces of texts that stand one after another in ``raw``: their bytes, where each begins there, how many stand before each text.
+
+    What the pattern in :data:`SPLITS` finds in a text, by rules on neighbours. With
+    ``folds`` case is folded, a number is one character and white space is dropped;
+    otherwise a run's last space, if something follows, belongs to what follows.
+    """
+    n = len(raw)
+    begin = np.zeros(n, bool)
+    begin[offsets[:-1][offsets[:-1] < n]] = True
+    classes, text = _CLASS[raw], _LOWER[raw] if folds else raw
+    at = np.flatnonzero(raw[:-1] >= 0xC2)
+    pairs = raw[at].astype(np.uint16) << 8 | raw[at + 1]
+    kinds = _CLASS2[pairs]
+    classes[at] = kinds
+    at, pairs, kinds = (x[kinds != _ODD] for x in (at, pairs, kinds))
+    classes[at + 1] = kinds
+    if folds:
+        pairs = _LOWER2[pairs]
+        text[at], text[at + 1] = pairs >> 8, pairs & 255
+    starts = begin.copy()
+    if (classes >= _ODD).any():
+        starts |= _starts_whole(raw, classes, begin)
+        text = np.where(classes == _WHOLE, raw, text)
+    starts[1:] |= classes[1:] != classes[:-1]
+    if folds:
+        starts |= (classes == _NUMBER) & (raw & 0xC0 != 0x80)
+    else:
+        last = np.flatnonzero((classes[:-1] == _SPACE) & (classes[1:] != _SPACE) & (classes[1:] != _WHOLE) & ~begin[1:])
+        starts[last] = True
+        starts[last[raw[last] == 0x20] + 1] = False
+    # 's 't 'm 'd 're 've 'll where a piece begins
+    quote = np.flatnonzero((text[:-1] == 0x27) & starts[:-1] & (classes[:-1] == _OTHER) & (classes[1:] == _LETTER) & ~begin[1:])
+    if len(quote):
+        one, two = text[quote + 1], np.append(text, np.uint8(0))[quote + 2]
+        two[np.append(begin, True)[quote + 2]] = 0
+        short = np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        starts[quote[short | long] + 1] = False
+        ends = np.concatenate([quote[short] + 2, quote[long] + 3])
+        starts[ends[ends < n]] = True
+    if not folds:
+        starts = np.flatnonzero(starts)
+        return text, starts, np.searchsorted(starts, offsets)
+    kept = classes != _SPACE
+    starts &= kept
+    return text[kept], np.flatnonzero(starts[kept]), np.searchsorted(np.flatnonzero(starts), offsets)
 
 
 class Encoder:
@@ -97,75 +175,54 @@ class Encoder:
         special = all(t["special"] for t in made.get("added_tokens") or ())  # others are found in texts
         whole = special and made.get("post_processor") is None and model["type"] == "BPE" and not any(model.get(k) for k in extra)
         self.pattern, self.folds = next(((p, f) for s, p, f in SPLITS if whole and s == settings), (None, False))
+        self.model, self.signs = self.tokenizer.model, "".join(_byte_signs())
         self._forget()
 
     def _forget(self) -> None:
-        self.pieces = _Pieces(self.tokenizer.model)
-        self.known: tuple[dict, dict] = {}, {}  # part to its place: parts that begin a text, parts after a space
+        self.known: dict[str, int] = {}  # a piece or whole part to its place
         self.ids, self.ends = array("I"), array("q", [0])
 
-    def _place(self, part: str, spaced: bool) -> int:
-        """Where the ids of a part are, encoding it if it is new."""
-        known = self.known[spaced]
-        at = known.get(part)
+    def _place(self, piece: str) -> int:
+        """Where the ids of a piece are, encoding it if it is new."""
+        at = self.known.get(piece)
         if at is None:
-            text = " " + part if spaced else part
-            if self.pattern is not None and _PLAIN.fullmatch(text):
-                for piece in self.pattern.findall(text.lower() if self.folds else text):
-                    self.ids.extend(self.pieces[piece])
+            if self.pattern is not None and _PLAIN.fullmatch(piece):
+                signs = piece if piece.isascii() and piece.isalnum() else charmap_decode(piece.encode(), "strict", self.signs)[0]
+                self.ids.extend([t.id for t in self.model.tokenize(signs)])
             else:
-                self.ids.extend(self.tokenizer.encode(text, add_special_tokens=False).ids)
-            at = known[part] = len(self.ends) - 1
+                self.ids.extend(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+            at = self.known[piece] = len(self.ends) - 1
             self.ends.append(len(self.ids))
         return at
 
-    def _places(self, text: str) -> list[int]:
-        if self.pattern is None:
-            return [self._place(text, False)]
-        first, *rest = _CUT.split(text)
-        return [self._place(first, False), *(self._place(p, True) for p in rest)]
-
     def encode_batch(self, texts: pa.Array | Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts, and the offsets of each text's; null counts as empty."""
         texts = pc.fill_null(pa.array(texts, pa.string()) if not isinstance(texts, pa.Array) else texts, "")
-        if len(self.ends) > CACHE_PARTS:
+        if len(self.ends) > CACHE_PARTS or len(self.ids) > CACHE_IDS:
             self._forget()
-        if not len(texts):
-            return np.empty(0, np.uint32), np.zeros(1, np.int64)
         if self.pattern is None:
-            per = [np.array(self._places(t)) for t in texts.to_pylist()]
+            places, before = np.array([self._place(t) for t in texts.to_pylist()], np.int64), np.arange(len(texts) + 1)
         else:
-            per = self._by_dictionary(texts)
-        places = np.concatenate(per)
+            places, before = self._by_dictionary(texts.cast(pa.large_string()))
         ids, ends = np.frombuffer(self.ids, np.uint32), np.frombuffer(self.ends, np.int64)
         starts = ends[places]
         lengths = ends[places + 1] - starts
-        after = np.cumsum(lengths)
-        at = np.arange(after[-1]) + np.repeat(starts - after + lengths, lengths)
-        bounds = np.cumsum([len(p) for p in per])
-        return ids[at], np.r_[0, after[bounds - 1]]
-
-    def _by_dictionary(self, texts: pa.Array) -> list[np.ndarray]:
-        split = pc.split_pattern(texts, " ")
-        words, offsets = split.flatten().dictionary_encode(), split.offsets.to_numpy() - split.offsets[0].as_py()
-        names, indices = words.dictionary.to_pylist(), words.indices.to_numpy()
-        known, first = self.known[True], self.known[False]
-        heads, inner = offsets[:-1], np.ones(len(indices), bool)
-        inner[heads] = False
-        after = np.zeros(len(names), bool)
-        after[indices[inner]] = True
-        place = [known.get(n) for n in names]
-        for i in [i for i, (at, use) in enumerate(zip(place, after.tolist())) if at is None or not use]:
-            # parts that are empty or begin with white space were cut where no boundary need be
-            place[i] = 0 if not after[i] else ODD if not (n := names[i]) or n[0].isspace() else self._place(n, True)
-        places = np.array(place, np.int64)[indices]
-        wrong = np.add.reduceat((places == ODD) & inner, heads, dtype=np.int64) > 0
-        begin = [names[i] for i in indices[heads].tolist()]
-        places[heads] = [0 if w else at if (at := first.get(n)) is not None else self._place(n, False) for n, w in zip(begin, wrong.tolist())]
-        per = np.split(places, offsets[1:-1])
-        for k in np.flatnonzero(wrong).tolist():
-            per[k] = np.array(self._places(texts[k].as_py()))
-        return per
+        after = np.append(0, np.cumsum(lengths))
+        at = np.arange(after[-1]) + np.repeat(starts - after[:-1], lengths)
+        return ids[at], after[before]
+
+    def _by_dictionary(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each piece, and how many stand before each text."""
+        _, offsets, raw = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset :][: len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        if offsets[0] == offsets[-1]:
+            return np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
+        text, starts, before = split(np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0], self.folds)
+        bounds = pa.py_buffer(np.append(starts, len(text)))
+        pieces = pa.LargeStringArray.from_buffers(len(starts), bounds, pa.py_buffer(np.ascontiguousarray(text))).dictionary_encode()
+        names = pieces.dictionary.to_pylist()
+        place = [self._place(n) if at is None else at for n, at in zip(names, map(self.known.get, names))]
+        return np.array(place, np.int64)[pieces.indices.to_numpy()], before
 
 
 def in_lists(ids: np.ndarray, offsets: np.ndarray) -> list[tuple[slice, pa.ListArray]]:

@@ -55,6 +55,40 @@ def test_encoder_leaves_other_vocabularies_to_the_library(tmp_path):
     assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [plain.encode(t or "").ids for t in texts]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_split_equals_pattern(name):
+    """Plain texts are split at once where the vocabulary's pattern splits them one by one."""
+    rng, own = random.Random(4), Encoder(vocabulary(name))
+    signs = [*"aZ  \n\t.,!''sTmD1²½\xadéÉŸǄ", "  ", "'re", "'VE", "'ll ", "'l", "'r"]
+    texts = ["", *("".join(c for c in (rng.choice(signs) for _ in range(rng.randint(0, 12))) if tokens._PLAIN.fullmatch(c)) for _ in range(20000)), ""]
+    raw = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    text, starts, before = tokens.split(np.frombuffer(raw, np.uint8), offsets, own.folds)
+    pieces = [text[a:b].tobytes().decode() for a, b in zip(starts, [*starts[1:], len(text)])]
+    for t, a, b in zip(texts, before, before[1:]):
+        assert pieces[a:b] == own.pattern.findall(t.lower() if own.folds else t), repr(t)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_white_space_that_is_not_plain(name):
+    """Texts aren't cut before white space of any kind, nor is one text joined to the next."""
+    plain, own = brute.tokenizer(name), Encoder(vocabulary(name))
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = [form.replace("_", c) for c in spaces for form in ("a _b", "a  _ b", "_", "a _", " _中 a", "中 _é 's", "क _ क")]
+    for batch in (texts, [*reversed(texts)]):
+        ids, ends = own.encode_batch(batch)
+        for k, want in enumerate(plain.encode_batch(batch, add_special_tokens=False)):
+            assert ids[ends[k] : ends[k + 1]].tolist() == want.ids, repr(batch[k])
+
+
+def test_encoder_knows_pieces():
+    """What is encoded grows with the distinct pieces, not with the ways that they stand together or are written."""
+    own = Encoder(vocabulary("word_bpe_49k.json"))
+    words, marks = [a + b for a in "abcdefgh" for b in "ijklmnop"], [",", ".", "!\n", ":\nAnd"]
+    own.encode_batch([f"{form(w)}{m}{x}" for w in words for m in marks for x in ("", "Or") for form in (str.lower, str.title, str.upper)])
+    assert len(own.ends) - 1 == len(words) + 4 + 3  # the marks "," "." "!" ":", and "or", "and", "andor"
+
+
 def test_encoder_forgets(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_PARTS", 3)
     own = Encoder(vocabulary("word_bpe_49k.json"))
@@ -62,6 +96,14 @@ def test_encoder_forgets(monkeypatch):
     assert own.encode_batch(["one two three four five"])[0].tolist() == first and len(own.ends) == 6
 
 
+def test_encoder_forgets_long_parts(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_IDS", 50)
+    own = Encoder(vocabulary("word_bpe_49k.json"))
+    for sign in "中文字":
+        own.encode_batch([sign * 60])
+        assert len(own.known) == 1
+
+
 def test_lists_are_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "BATCH_IDS", 4)
     ids, ends = np.arange(14, dtype=np.uint32), np.array([0, 1, 3, 4, 10, 10, 13, 14])
